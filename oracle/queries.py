@@ -41,3 +41,154 @@ SQL["synthetic_source"] = compose("stg_sources", "select * from stg_sources wher
 SQL["category_counts"] = compose(
     "candidates", "select activity_category, count(*) as events from candidates group by activity_category"
 )
+
+RECORD_FIELDS = """
+  case when event_id % 50 <> 0 and event_id % 51 <> 0 then cast(event_id as varchar) end as source_record_id,
+  'Class ' || user_id as title,
+  case when event_id % 40 not in (3, 5, 7) then cast(ts as date) end as startdate,
+  case when event_id % 3 <> 0 and event_id % 60 <> 13 then cast(ts as date) + 1 end as enddate"""
+USABLE = "event_id % 50 <> 0 and event_id % 51 <> 0 and event_id % 40 <> 3 and event_id % 60 <> 13"
+DAY = "strftime(ts, '%Y-%m-%d')"
+
+SQL["feed_parse_json"] = f"""
+select {RECORD_FIELDS}, '2024-01-01 18:30:00' as starttime, cast(null as varchar) as endtime,
+  cast(null as varchar) as location, cast(null as varchar) as parknames, 'Fitness | ' || event_type as categories,
+  case event_id % 4 when 0 then 'https://p.example.org/' || user_id when 1 then 'https://q.example.org/' || user_id
+    end as link_url,
+  cast(null as varchar) as registration_url,
+  case when event_id % 9 in (6, 7, 8) then cast('40.' || (user_id % 90 + 10) as double) end as lat,
+  case when event_id % 9 in (6, 7, 8) then cast('-73.' || (user_id % 40 + 50) as double) end as lon,
+  cast(null as varchar) as description,
+  '{{"guid": "' || event_id || '", "title": "Class ' || user_id || '", "startdate": '
+    || case event_id % 40 when 5 then '" "' when 7 then 'null' when 9 then '"' || {DAY} || '"'
+       when 11 then '"' || {DAY} || 'T10:00:00Z"' else '"' || {DAY} || 'T00:00:00.000"' end
+    || case when event_id % 3 = 0 then '' else ', "enddate": "' || strftime(ts + interval 1 day, '%Y-%m-%d')
+       || 'T00:00:00.000"' end
+    || ', "starttime": "2024-01-01 18:30:00", "categories": "Fitness | ' || event_type || '"'
+    || case event_id % 4 when 0 then ', "link": {{"url": "https://p.example.org/' || user_id || '"}}'
+       when 1 then ', "link": "https://q.example.org/' || user_id || '"' when 2 then ', "link": 17' else '' end
+    || ', "registration_url": {{"url": null}}, "coordinates": '
+    || case event_id % 9 when 0 then '"51.5074, -0.1278"' when 1 then '"40.6"' when 2 then '"not,numbers"'
+       when 3 then '""' when 4 then 'null' when 5 then '"40.7, -73.9, 3"'
+       else '"40.' || (user_id % 90 + 10) || ', -73.' || (user_id % 40 + 50) || '"' end
+    || ', "props": ' || props || '}}' as raw_payload,
+  timestamp '2024-01-15 17:00:00' as ingested_at
+from events where {USABLE}"""
+
+SQL["feed_rejects"] = """
+select case when event_id % 50 = 0 or event_id % 51 = 0 then 'missing_id' when event_id % 40 = 3 then 'bad_startdate'
+  else 'bad_enddate' end as reason, count(*) as records
+from events where event_id % 50 = 0 or event_id % 51 = 0 or event_id % 40 = 3 or event_id % 60 = 13
+group by all"""
+
+SQL["feed_first_records"] = f"""
+select source_record_id, title, startdate from (
+  select *, {RECORD_FIELDS},
+    case when event_id % 50 <> 0 and event_id % 51 <> 0 then cast(event_id as varchar) end as guid
+  from events order by guid nulls last limit 200) t
+where {USABLE}"""
+
+SQL["validation_report"] = """
+select 'required_value' as check_name, 'event_id' as column_name, cast(0 as bigint) as failing_rows
+union all select 'required_value', 'source_id', count(*) filter (o_orderkey % 31 = 0) from orders
+union all select 'required_value', 'title', count(*) filter (o_orderkey % 43 = 0) from orders
+union all select 'required_value', 'category', 0
+union all select 'required_value', 'start_time',
+  count(*) filter (o_orderkey % 79 = 0 and o_orderkey % 71 <> 0 and o_orderkey % 73 <> 0) from orders
+union all select 'required_value', 'location', 0
+union all select 'time_format', 'start_time', count(*) filter (o_orderkey % 71 = 0) from orders
+union all select 'time_format', 'end_time', count(*) filter (o_orderkey % 59 = 0) from orders
+union all select 'time_format', 'last_checked', 0"""
+
+SQL["lookup_evolved"] = compose(
+    "zips", "select zip_code, lat, lon, borough, cast(null as varchar) as image_url, true as is_active from zips"
+)
+
+SQL["upsert_final_state"] = compose(
+    "feed_batches",
+    """
+select * exclude (n), case when ingested_at < (select max(ingested_at) from feed_batches) then 'kept'
+  when n > 1 then 'updated' else 'inserted' end as status
+from (select *, count(*) over (partition by source_record_id) as n from feed_batches
+  qualify row_number() over (partition by source_record_id order by ingested_at desc) = 1) t""",
+)
+
+SQL["upsert_counts"] = compose(
+    "feed_batches",
+    """
+select ingested_at, count(*) filter (n = 1) as inserted, count(*) filter (n > 1) as updated
+from (select *, row_number() over (partition by source_record_id order by ingested_at) as n from feed_batches) t
+group by ingested_at""",
+)
+
+HISTORY = """
+select source_record_id, title, startdate, enddate, starttime, endtime, location, parknames, categories, link_url,
+  registration_url, lat, lon, ingested_at,
+  md5(source_record_id || '~' || strftime(ingested_at, '%Y-%m-%d %H:%M:%S.%f')) as version_id,
+  ingested_at as valid_from,
+  lead(ingested_at) over (partition by source_record_id order by ingested_at) as valid_to
+from (
+  select *, lag(ingested_at) over w as before, (title, startdate, enddate, starttime, endtime, location, parknames,
+      categories, link_url, registration_url) as state, lag(state) over w as state_before
+  from feed_batches window w as (partition by source_record_id order by ingested_at)) t
+where before is null or state is distinct from state_before"""
+
+SQL["scd2_history"] = SQL["scd2_incremental"] = compose("feed_batches", HISTORY)
+
+SQL["event_observations"] = compose(
+    "feed_batches",
+    """
+select source_record_id, startdate as scheduled_for, cast(ingested_at as date) as observed_on,
+  'parks-' || source_record_id as event_id, starts_with(title, 'CANCELED') as was_cancelled_on_that_date,
+  cast(startdate - cast(ingested_at as date) as int) as days_ahead_of_event
+from feed_batches""",
+)
+
+LIFECYCLE = """
+select h.source_record_id, max(title) filter (valid_to is null) as current_title,
+  any_value(s.activity_category) as activity_category, any_value(s.start_at) as scheduled_start_at,
+  min(valid_from) as first_captured_at, any_value(s.event_last_checked) as last_seen_in_feed_on,
+  count(*) as version_count, bool_or(c) filter (valid_to is null) as is_cancelled_now,
+  arg_min(c, valid_from) as was_cancelled_at_first_capture,
+  min(valid_from) filter (c) as cancelled_first_seen_at, 'parks-' || h.source_record_id as event_id,
+  count(distinct startdate || '@' || coalesce(starttime, '?')) > 1 as was_rescheduled,
+  count(distinct h.location) > 1 as was_relocated,
+  is_cancelled_now and not was_cancelled_at_first_capture as cancellation_observed,
+  case when is_cancelled_now and not was_cancelled_at_first_capture then cast(round(cast(date_diff('second',
+    {seen}, any_value(s.start_at)) as decimal(18,6)) / 3600, 1) as double) end as cancellation_lead_hours
+from (select *, regexp_matches(title, '^cancell?ed', 'i') as c from history) h
+left join stg_feed s on s.event_id = 'parks-' || h.source_record_id
+group by h.source_record_id having count(*) filter (valid_to is null) > 0"""
+LOCAL_SEEN = "(min(valid_from) filter (c) at time zone 'UTC') at time zone 'America/New_York'"
+
+SQL["event_lifecycle"] = compose(
+    "feed_batches stg_feed", "select * from (with history as (" + HISTORY + ")" + LIFECYCLE.format(seen=LOCAL_SEEN) + ") l"
+)
+SQL["event_lifecycle_utc"] = compose(
+    "feed_batches stg_feed",
+    "select event_id, cancellation_observed, cancellation_lead_hours from (with history as ("
+    + HISTORY
+    + ")"
+    + LIFECYCLE.format(seen="min(valid_from) filter (c)")
+    + ") l",
+)
+
+SQL["source_reliability"] = compose(
+    "feed_batches stg_feed",
+    "select * from (with history as (" + HISTORY + "), lifecycle as (" + LIFECYCLE.format(seen=LOCAL_SEEN) + """),
+observed as (select min(cast(ingested_at as date)) as first_observed_on, max(cast(ingested_at as date))
+  as last_observed_on, count(distinct cast(ingested_at as date)) as distinct_observation_days from feed_batches),
+totals as (select count(*) as events_tracked,
+  count(*) filter (not was_cancelled_at_first_capture) as events_with_observed_lifecycle,
+  count(*) filter (was_cancelled_at_first_capture) as cancelled_before_tracking,
+  count(*) filter (cancellation_observed) as cancellations_observed,
+  count(*) filter (was_rescheduled) as reschedules_observed, count(*) filter (was_relocated) as relocations_observed,
+  percentile_cont(0.5) within group (order by cancellation_lead_hours) as median_cancellation_lead_hours,
+  min(cancellation_lead_hours) as min_cancellation_lead_hours, round(avg(version_count), 2) as avg_versions_per_event
+  from lifecycle)
+select 'parks-feed' as source_id, 'Parks open data feed' as source_name, *,
+  cast(last_observed_on - first_observed_on as int) as observation_window_days,
+  round(100e0 * cancellations_observed / nullif(events_with_observed_lifecycle, 0), 2) as observed_cancellation_rate_pct,
+  round(100e0 * reschedules_observed / nullif(events_tracked, 0), 2) as reschedule_rate_pct
+from totals, observed) r""",
+)

@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outpulse.plans import enrich, marts, staging
+from pyspark.sql import functions as F
+
+from outpulse import schemas
+from outpulse.operators import history, upsert, validate
+from outpulse.plans import enrich, marts, reliability, staging
 from outpulse.sources import adapters as data
+from outpulse.sources import curated, landed
 from outpulse.sources.adapters import CLOCK
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +23,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.all_sources(data.sources(spark, sf_dir), data.feed_now(spark, sf_dir))
+    return staging.all_sources(data.sources(spark, sf_dir), data.feed_captures(spark, sf_dir))
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +70,98 @@ def feed_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.feed_source(data.feed_now(spark, sf_dir))
+    return staging.feed_source(data.feed_captures(spark, sf_dir))
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.category_counts(candidate_mart(spark, sf_dir))
 
 
+def feed_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = landed.parse_records(data.landed_records(spark, sf_dir), CLOCK.now_utc())
+    return rows
+
+
+def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejects = landed.parse_records(data.landed_records(spark, sf_dir), CLOCK.now_utc())
+    return landed.reject_counts(rejects)
+
+
+def feed_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default record limit of one load, lowest ids first."""
+    rows, _ = landed.parse_records(
+        landed.first_records(data.landed_records(spark, sf_dir), landed.DEFAULT_RECORD_LIMIT), CLOCK.now_utc()
+    )
+    return rows.select("source_record_id", "title", "startdate")
+
+
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.validation_report(
+        data.raw_event_text(spark, sf_dir),
+        schemas.REQUIRED_EVENT_COLUMNS,
+        ["start_time", "end_time", "last_checked"],
+    )
+
+
+def lookup_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ZIP lookup read into a wider declared schema: columns that the file lacks are added as NULL."""
+    wider = f"{schemas.ZIP_CENTROIDS}, image_url string, is_active boolean"
+    return curated.conform(data.zip_centroids(spark, sf_dir), wider, {"is_active": True})
+
+
+def _last_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All feed batches but the last, and the last."""
+    batches = data.feed_batches(spark, sf_dir)
+    last = data.feed_captures(spark, sf_dir).agg(F.max("ingested_at").alias("last")).scalar()
+    return batches.filter(F.col("ingested_at") < last), batches.filter(F.col("ingested_at") == last)
+
+
+def upsert_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that the earlier batches left, after the last batch."""
+    earlier, last = _last_batch(spark, sf_dir)
+    table = upsert.last_per_key(earlier, schemas.KEYS["feed"], ["ingested_at"])
+    return upsert.upsert(table, last, schemas.KEYS["feed"], ["ingested_at"]).withColumnRenamed(upsert.STATUS, "status")
+
+
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.counts_by_batch(data.feed_batches(spark, sf_dir), schemas.KEYS["feed"], "ingested_at")
+
+
+def scd2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.history_from_batches(data.feed_batches(spark, sf_dir))
+
+
+def scd2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of the earlier batches, carried on by the last one. Equals the one-pass history."""
+    earlier, last = _last_batch(spark, sf_dir)
+    return history.snapshot_history(history.history_from_batches(earlier), last)
+
+
+def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    earlier, last = _last_batch(spark, sf_dir)
+    return history.record_observations(history.observe(earlier), last)
+
+
+def event_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reliability.event_lifecycle(scd2_history(spark, sf_dir), feed_staging(spark, sf_dir))
+
+
+def event_lifecycle_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lead times as the difference of UTC capture and local start, without converting either."""
+    lifecycle = reliability.event_lifecycle(
+        scd2_history(spark, sf_dir), feed_staging(spark, sf_dir), compat_utc_skew=True
+    )
+    return lifecycle.select("event_id", "cancellation_observed", "cancellation_lead_hours")
+
+
+def source_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reliability.source_reliability(
+        event_lifecycle(spark, sf_dir),
+        history.observe(data.feed_batches(spark, sf_dir)),
+        synthetic_source(spark, sf_dir),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "organizations": organizations,
     "candidate_mart": candidate_mart,
@@ -80,4 +170,17 @@ QUERIES: dict[str, Query] = {
     "feed_staging": feed_staging,
     "synthetic_source": synthetic_source,
     "category_counts": category_counts,
+    "feed_parse_json": feed_parse_json,
+    "feed_rejects": feed_rejects,
+    "feed_first_records": feed_first_records,
+    "validation_report": validation_report,
+    "lookup_evolved": lookup_evolved,
+    "upsert_final_state": upsert_final_state,
+    "upsert_counts": upsert_counts,
+    "scd2_history": scd2_history,
+    "scd2_incremental": scd2_incremental,
+    "event_observations": event_observations,
+    "event_lifecycle": event_lifecycle,
+    "event_lifecycle_utc": event_lifecycle_utc,
+    "source_reliability": source_reliability,
 }

@@ -155,3 +155,49 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when c_custkey % 8 = 0 then '15:00:00' end as after_time",
         "concat('dev-', c_custkey % 60) as device_id",
     )
+
+
+def feed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the capture times of the feed, for which no record needs to be reduced to its last state."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "timestampadd(HOUR, 23, cast(cast(ts as date) as timestamp_ntz)) as ingested_at"
+    )
+
+
+def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as one JSON record, with the defects that the feed has: no id, bad dates, garbage positions."""
+    return table(spark, sf_dir, "events").selectExpr(
+        """concat('{"guid": ', case when event_id % 50 = 0 then 'null' when event_id % 51 = 0 then '""'
+               else concat('"', event_id, '"') end,
+             ', "title": "Class ', user_id, '", "startdate": ',
+             case event_id % 40 when 3 then '"not-a-date"' when 5 then '" "' when 7 then 'null'
+               when 9 then concat('"', cast(cast(ts as date) as string), '"')
+               when 11 then concat('"', cast(cast(ts as date) as string), 'T10:00:00Z"')
+               else concat('"', cast(cast(ts as date) as string), 'T00:00:00.000"') end,
+             case when event_id % 60 = 13 then ', "enddate": "2024-13-45"' when event_id % 3 = 0 then ''
+               else concat(', "enddate": "', cast(date_add(cast(ts as date), 1) as string), 'T00:00:00.000"') end,
+             ', "starttime": "2024-01-01 18:30:00", "categories": "Fitness | ', event_type, '"',
+             case event_id % 4 when 0 then concat(', "link": {"url": "https://p.example.org/', user_id, '"}')
+               when 1 then concat(', "link": "https://q.example.org/', user_id, '"')
+               when 2 then ', "link": 17' else '' end,
+             ', "registration_url": {"url": null}, "coordinates": ',
+             case event_id % 9 when 0 then '"51.5074, -0.1278"' when 1 then '"40.6"' when 2 then '"not,numbers"'
+               when 3 then '""' when 4 then 'null' when 5 then '"40.7, -73.9, 3"'
+               else concat('"40.', user_id % 90 + 10, ', -73.', user_id % 40 + 50, '"') end,
+             ', "props": ', props, '}') as raw_payload"""
+    )
+
+
+def raw_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curated events as text cells, some required ones blank and some dates malformed."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('evt-', o_orderkey) as event_id",
+        "case when o_orderkey % 31 <> 0 then concat('src-', o_custkey % 10) end as source_id",
+        "case when o_orderkey % 43 <> 0 then concat('Session ', o_orderkey) end as title",
+        "'active' as category",
+        """case when o_orderkey % 71 = 0 then 'soon' when o_orderkey % 73 = 0 then '  ' when o_orderkey % 79 = 0 then null
+           else date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss") end as start_time""",
+        "case when o_orderkey % 59 = 0 then '2024-02-31' end as end_time",
+        "'Venue' as location",
+        "date_format(o_orderdate, 'yyyy-MM-dd') as last_checked",
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import oracle.request_parts  # noqa: F401
 from oracle.parts import compose
 
 SQL: dict[str, str] = {}
@@ -192,3 +193,46 @@ select 'parks-feed' as source_id, 'Parks open data feed' as source_name, *,
   round(100e0 * reschedules_observed / nullif(events_tracked, 0), 2) as reschedule_rate_pct
 from totals, observed) r""",
 )
+
+SQL["request_feasible"] = compose(
+    "feasible asks",
+    """
+select request_id, coalesce(n, 0) as feasible_events
+from asks left join (select request_id, count(*) as n from feasible group by request_id) f using (request_id)""",
+)
+SQL["request_scores"] = compose("pool", "select * exclude (mode) from pool")
+SQL["request_top5"] = compose(
+    "results", "select request_id, rank, event_id, total from results where mode <> 'surprise'"
+)
+SQL["request_surprise"] = compose(
+    "results", "select request_id, rank, event_id, total from results where mode = 'surprise'"
+)
+SQL["request_explained"] = compose("shown", "select * exclude (reasons) from shown")
+
+SQL["favorites_flag"] = compose(
+    "favorites",
+    """
+select device_id, event_id, case when device_id is not null then f.event_id is not null end as is_favorited
+from (select case when o_orderkey % 12 <> 0 then 'dev-' || (o_custkey % 50) end as device_id,
+  'evt-' || o_orderkey as event_id from orders) d left join favorites f using (device_id, event_id)""",
+)
+SQL["favorites_count"] = compose(
+    "favorites", "select device_id, count(*) as favorites from favorites group by device_id"
+)
+SQL["favorites_apply"] = """
+select distinct 'dev-' || (o_custkey % 50) as device_id, 'evt-' || o_orderkey as event_id from orders
+where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus <> 'F'"""
+
+SQL["organization_list"] = (
+    "select source_id, source_name as name, source_category as category, channel_type, source_url as url, "
+    "source_image_url as image_url, upcoming_event_count from (" + SQL["organizations"] + ") o"
+)
+SQL["cost_labels"] = compose(
+    "candidates",
+    """
+select event_id, case when price_amount is null then 'Cost unknown' when price_amount = 0 then 'Free'
+  else '$' || cast(round(price_amount, 0) as int) end as cost_label,
+  case activity_category when 'food_drink' then 'Food & Drink'
+    else upper(activity_category[1]) || activity_category[2:] end as category_label
+from candidates""",
+)

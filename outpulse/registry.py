@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outpulse import schemas
-from outpulse.operators import history, upsert, validate
-from outpulse.plans import enrich, marts, reliability, staging
+from outpulse.functions import presentation, text
+from outpulse.operators import favorites, history, matching, upsert, validate
+from outpulse.plans import enrich, marts, recommendations, reliability, staging
 from outpulse.sources import adapters as data
 from outpulse.sources import curated, landed
 from outpulse.sources.adapters import CLOCK
@@ -162,6 +163,81 @@ def source_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wishes = matching.asked(data.requests(spark, sf_dir), data.zip_centroids(spark, sf_dir))
+    return matching.feasible_counts(wishes, matching.rankable(candidate_mart(spark, sf_dir), CLOCK))
+
+
+def request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best candidates of every request with all score components."""
+    pool = recommendations.score_pools(
+        data.requests(spark, sf_dir), candidate_mart(spark, sf_dir), data.zip_centroids(spark, sf_dir), CLOCK
+    )
+    return pool.select(
+        "request_id",
+        "position",
+        "event_id",
+        "total",
+        "confidence_score",
+        "confidence_label",
+        "proximity_score",
+        "distance_miles",
+        "vibe_score",
+    )
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommendations.top_results(
+        data.requests(spark, sf_dir), candidate_mart(spark, sf_dir), data.zip_centroids(spark, sf_dir), CLOCK
+    )
+
+
+def request_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict top five of requests that are no surprise."""
+    return _results(spark, sf_dir).filter("mode <> 'surprise'").select("request_id", "rank", "event_id", "total")
+
+
+def request_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted draws of surprise requests."""
+    return _results(spark, sf_dir).filter("mode = 'surprise'").select("request_id", "rank", "event_id", "total")
+
+
+def request_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field that is shown for a result; the two lists as text."""
+    shown = recommendations.explained(
+        _results(spark, sf_dir), candidate_mart(spark, sf_dir), data.favorites(spark, sf_dir), CLOCK
+    )
+    return shown.withColumns({"badges": F.array_join("badges", "|"), "tags": F.array_join("tags", "|")})
+
+
+def favorites_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each device of the requests has each curated event of its own urgent orders; unknown without a device."""
+    rows = data.device_events(spark, sf_dir)
+    return favorites.flag_favorites(rows, data.favorites(spark, sf_dir), spread_by="event_id")
+
+
+def favorites_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return favorites.favorite_counts(data.favorites(spark, sf_dir))
+
+
+def favorites_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The favourites after a batch of additions and a batch of removals."""
+    added, removed = data.favorite_changes(spark, sf_dir)
+    return favorites.remove_favorites(favorites.add_favorites(data.favorites(spark, sf_dir), added), removed)
+
+
+def organization_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.organization_list(organizations(spark, sf_dir))
+
+
+def cost_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidate_mart(spark, sf_dir).select(
+        "event_id",
+        presentation.cost_label(F.col("price_amount")).alias("cost_label"),
+        text.category_label(F.col("activity_category")).alias("category_label"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "organizations": organizations,
     "candidate_mart": candidate_mart,
@@ -183,4 +259,14 @@ QUERIES: dict[str, Query] = {
     "event_lifecycle": event_lifecycle,
     "event_lifecycle_utc": event_lifecycle_utc,
     "source_reliability": source_reliability,
+    "request_feasible": request_feasible,
+    "request_scores": request_scores,
+    "request_top5": request_top5,
+    "request_surprise": request_surprise,
+    "request_explained": request_explained,
+    "favorites_flag": favorites_flag,
+    "favorites_count": favorites_count,
+    "favorites_apply": favorites_apply,
+    "organization_list": organization_list,
+    "cost_labels": cost_labels,
 }

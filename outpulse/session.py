@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -41,3 +41,14 @@ def work_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if fallback is None:
         raise ValueError(f"{CHECKPOINT_SETTING} is not set; pass a folder that every executor can reach")
     return os.fspath(fallback)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for plans that use it several times.
+
+    With a checkpoint folder, as on a cluster, the rows are written there and the lineage ends. Without one they are
+    cached and keep their lineage, so a lost executor only costs a recomputation.
+    """
+    if df.sparkSession.conf.get(CHECKPOINT_SETTING, None):
+        return df.checkpoint()
+    return df.persist()

@@ -84,7 +84,7 @@ def _feed_columns() -> list[str]:
         "case when user_id % 7 <> 0 then 40.55d + (user_id % 50) * 0.006d end as lat",
         "case when user_id % 7 <> 0 then -74.1d + (user_id % 45) * 0.008d end as lon",
         "case when user_id % 10 = 0 then 'All levels welcome' when user_id % 10 = 1 then 'Bring water' end as description",
-        "timestampadd(HOUR, 23, cast(cast(ts as date) as timestamp_ntz)) as ingested_at",
+        "timestampadd(HOUR, 23, cast(day as timestamp_ntz)) as ingested_at",
     ]
 
 
@@ -94,10 +94,11 @@ def feed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``row_number() = 1`` keeps one row per record and day inside each map task before the shuffle, so a record that
     owns a third of the events still sends one row per task and day.
     """
-    latest_first = W.partitionBy("user_id", F.to_date("ts")).orderBy(F.desc("ts"), F.desc("event_id"))
+    # The day is a column of its own, so that a filter on the capture time can move below the window.
+    latest_first = W.partitionBy("user_id", "day").orderBy(F.desc("ts"), F.desc("event_id"))
     return (
         table(spark, sf_dir, "events")
-        .select("event_id", "ts", "user_id", "event_type")
+        .select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"))
         .withColumn("_rn", F.row_number().over(latest_first))
         .filter("_rn = 1")
         .selectExpr(*_feed_columns())
@@ -109,7 +110,7 @@ def feed_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest_first = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return (
         table(spark, sf_dir, "events")
-        .select("event_id", "ts", "user_id", "event_type")
+        .select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"))
         .withColumn("_rn", F.row_number().over(latest_first))
         .filter("_rn = 1")
         .selectExpr(*_feed_columns())
@@ -201,3 +202,20 @@ def raw_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'Venue' as location",
         "date_format(o_orderdate, 'yyyy-MM-dd') as last_checked",
     )
+
+
+def device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as something a device looks at; some looks come without a device."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "case when o_orderkey % 12 <> 0 then concat('dev-', o_custkey % 50) end as device_id",
+        "concat('evt-', o_orderkey) as event_id",
+    )
+
+
+def favorite_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(added, removed)``: high-priority orders are added, repeats included; finished orders are removed."""
+    pairs = ("concat('dev-', o_custkey % 50) as device_id", "concat('evt-', o_orderkey) as event_id")
+    orders = table(spark, sf_dir, "orders")
+    added = orders.filter("o_orderpriority in ('1-URGENT', '2-HIGH')").selectExpr(*pairs)
+    removed = orders.filter("o_orderstatus = 'F'").selectExpr(*pairs)
+    return added.unionByName(added), removed

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import oracle.request_parts  # noqa: F401
-from oracle.parts import compose
+from oracle.parts import block, compose
 
 SQL: dict[str, str] = {}
 
-SQL["organizations"] = compose(
+block(
+    "organizations",
     "stg_sources candidates",
     """
 select s.source_id, source_name, source_category, channel_type, source_url, source_image_url, update_cadence,
@@ -17,6 +18,7 @@ from stg_sources s left join (
   on s.source_id = c.source_id
 where is_active""",
 )
+SQL["organizations"] = compose("organizations", "select * from organizations")
 
 SQL["candidate_mart"] = compose("candidates", "select * from candidates")
 
@@ -122,7 +124,10 @@ from (select *, row_number() over (partition by source_record_id order by ingest
 group by ingested_at""",
 )
 
-HISTORY = """
+block(
+    "history",
+    "feed_batches",
+    """
 select source_record_id, title, startdate, enddate, starttime, endtime, location, parknames, categories, link_url,
   registration_url, lat, lon, ingested_at,
   md5(source_record_id || '~' || strftime(ingested_at, '%Y-%m-%d %H:%M:%S.%f')) as version_id,
@@ -132,11 +137,12 @@ from (
   select *, lag(ingested_at) over w as before, (title, startdate, enddate, starttime, endtime, location, parknames,
       categories, link_url, registration_url) as state, lag(state) over w as state_before
   from feed_batches window w as (partition by source_record_id order by ingested_at)) t
-where before is null or state is distinct from state_before"""
-
-SQL["scd2_history"] = SQL["scd2_incremental"] = compose("feed_batches", HISTORY)
+where before is null or state is distinct from state_before""",
+)
+SQL["scd2_history"] = SQL["scd2_incremental"] = compose("history", "select * from history")
 
-SQL["event_observations"] = compose(
+block(
+    "observations",
     "feed_batches",
     """
 select source_record_id, startdate as scheduled_for, cast(ingested_at as date) as observed_on,
@@ -144,6 +150,7 @@ select source_record_id, startdate as scheduled_for, cast(ingested_at as date) a
   cast(startdate - cast(ingested_at as date) as int) as days_ahead_of_event
 from feed_batches""",
 )
+SQL["event_observations"] = compose("observations", "select * from observations")
 
 LIFECYCLE = """
 select h.source_record_id, max(title) filter (valid_to is null) as current_title,
@@ -161,38 +168,35 @@ from (select *, regexp_matches(title, '^cancell?ed', 'i') as c from history) h
 left join stg_feed s on s.event_id = 'parks-' || h.source_record_id
 group by h.source_record_id having count(*) filter (valid_to is null) > 0"""
 LOCAL_SEEN = "(min(valid_from) filter (c) at time zone 'UTC') at time zone 'America/New_York'"
-
-SQL["event_lifecycle"] = compose(
-    "feed_batches stg_feed", "select * from (with history as (" + HISTORY + ")" + LIFECYCLE.format(seen=LOCAL_SEEN) + ") l"
-)
+block("lifecycle", "history stg_feed", LIFECYCLE.format(seen=LOCAL_SEEN))
+block("lifecycle_utc", "history stg_feed", LIFECYCLE.format(seen="min(valid_from) filter (c)"))
+SQL["event_lifecycle"] = compose("lifecycle", "select * from lifecycle")
 SQL["event_lifecycle_utc"] = compose(
-    "feed_batches stg_feed",
-    "select event_id, cancellation_observed, cancellation_lead_hours from (with history as ("
-    + HISTORY
-    + ")"
-    + LIFECYCLE.format(seen="min(valid_from) filter (c)")
-    + ") l",
-)
-
-SQL["source_reliability"] = compose(
-    "feed_batches stg_feed",
-    "select * from (with history as (" + HISTORY + "), lifecycle as (" + LIFECYCLE.format(seen=LOCAL_SEEN) + """),
-observed as (select min(cast(ingested_at as date)) as first_observed_on, max(cast(ingested_at as date))
-  as last_observed_on, count(distinct cast(ingested_at as date)) as distinct_observation_days from feed_batches),
-totals as (select count(*) as events_tracked,
-  count(*) filter (not was_cancelled_at_first_capture) as events_with_observed_lifecycle,
-  count(*) filter (was_cancelled_at_first_capture) as cancelled_before_tracking,
-  count(*) filter (cancellation_observed) as cancellations_observed,
-  count(*) filter (was_rescheduled) as reschedules_observed, count(*) filter (was_relocated) as relocations_observed,
-  percentile_cont(0.5) within group (order by cancellation_lead_hours) as median_cancellation_lead_hours,
-  min(cancellation_lead_hours) as min_cancellation_lead_hours, round(avg(version_count), 2) as avg_versions_per_event
-  from lifecycle)
+    "lifecycle_utc", "select event_id, cancellation_observed, cancellation_lead_hours from lifecycle_utc"
+)
+
+block(
+    "reliability",
+    "lifecycle observations",
+    """
 select 'parks-feed' as source_id, 'Parks open data feed' as source_name, *,
   cast(last_observed_on - first_observed_on as int) as observation_window_days,
   round(100e0 * cancellations_observed / nullif(events_with_observed_lifecycle, 0), 2) as observed_cancellation_rate_pct,
   round(100e0 * reschedules_observed / nullif(events_tracked, 0), 2) as reschedule_rate_pct
-from totals, observed) r""",
+from (
+  select count(*) as events_tracked,
+    count(*) filter (not was_cancelled_at_first_capture) as events_with_observed_lifecycle,
+    count(*) filter (was_cancelled_at_first_capture) as cancelled_before_tracking,
+    count(*) filter (cancellation_observed) as cancellations_observed,
+    count(*) filter (was_rescheduled) as reschedules_observed, count(*) filter (was_relocated) as relocations_observed,
+    percentile_cont(0.5) within group (order by cancellation_lead_hours) as median_cancellation_lead_hours,
+    min(cancellation_lead_hours) as min_cancellation_lead_hours, round(avg(version_count), 2) as avg_versions_per_event
+  from lifecycle) t, (
+  select min(observed_on) as first_observed_on, max(observed_on) as last_observed_on,
+    count(distinct observed_on) as distinct_observation_days
+  from observations) o""",
 )
+SQL["source_reliability"] = compose("reliability", "select * from reliability")
 
 SQL["request_feasible"] = compose(
     "feasible asks",
@@ -223,9 +227,11 @@ SQL["favorites_apply"] = """
 select distinct 'dev-' || (o_custkey % 50) as device_id, 'evt-' || o_orderkey as event_id from orders
 where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus <> 'F'"""
 
-SQL["organization_list"] = (
-    "select source_id, source_name as name, source_category as category, channel_type, source_url as url, "
-    "source_image_url as image_url, upcoming_event_count from (" + SQL["organizations"] + ") o"
+SQL["organization_list"] = compose(
+    "organizations",
+    """
+select source_id, source_name as name, source_category as category, channel_type, source_url as url,
+  source_image_url as image_url, upcoming_event_count from organizations""",
 )
 SQL["cost_labels"] = compose(
     "candidates",
@@ -236,3 +242,113 @@ select event_id, case when price_amount is null then 'Cost unknown' when price_a
     else upper(activity_category[1]) || activity_category[2:] end as category_label
 from candidates""",
 )
+
+
+def _rows_where(table: str, label: str, check: str, column: str, condition: str) -> str:
+    return (
+        f"select '{label}' as table_name, '{check}' as check_name, '{column}' as column_name, "
+        f"count(*) as failing_rows from {table} where {condition}"
+    )
+
+
+def _null(table: str, label: str, columns: str) -> list[str]:
+    return [_rows_where(table, label, "not_null", c, f"{c} is null") for c in columns.split()]
+
+
+def _other(table: str, label: str, column: str, values: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values.split())
+    return _rows_where(table, label, "accepted_values", column, f"{column} not in ({listed})")
+
+
+def _repeated(table: str, label: str, key: str) -> str:
+    inner = f"(select {key} from {table} group by {key} having count(*) > 1)"
+    return _rows_where(inner, label, "unique", key, " and ".join(f"{c} is not null" for c in key.split(",")))
+
+
+FEED_ROW = "(select * from stg_sources where source_id = 'parks-feed')"
+CURATED_ROWS = "(select * from stg_sources where source_id <> 'parks-feed')"
+ALL_CATEGORIES = "active outdoors social culture food_drink learn volunteer"
+
+SQL["quality_report"] = compose(
+    "raw_sources raw_events raw_feed zips stg_sources stg_feed history lifecycle observations enriched candidates "
+    "organizations reliability clock",
+    "\nunion all ".join(
+        [
+            *_null("raw_sources", "sources", "source_id is_active"),
+            _repeated("raw_sources", "sources", "source_id"),
+            *_null("raw_events", "events", "event_id source_id"),
+            _repeated("raw_events", "events", "event_id"),
+            _rows_where(
+                "raw_events", "events", "relationships", "source_id", "source_id not in (select source_id from raw_sources)"
+            ),
+            *_null("raw_feed", "feed", "source_record_id"),
+            _repeated("raw_feed", "feed", "source_record_id"),
+            *_null("zips", "zip_centroids", "zip_code"),
+            _repeated("zips", "zip_centroids", "zip_code"),
+            *_null(CURATED_ROWS, "stg_sources", "source_id"),
+            _repeated(CURATED_ROWS, "stg_sources", "source_id"),
+            _other(CURATED_ROWS, "stg_sources", "channel_type", "website meetup instagram"),
+            *_null("raw_events", "stg_events", "event_id source_id"),
+            _repeated("raw_events", "stg_events", "event_id"),
+            *_null("stg_feed", "stg_feed", "event_id source_id start_at is_cancelled is_virtual"),
+            _repeated("stg_feed", "stg_feed", "event_id"),
+            _other("stg_feed", "stg_feed", "activity_category", ALL_CATEGORIES),
+            *_null(FEED_ROW, "stg_feed_source", "source_id"),
+            _repeated(FEED_ROW, "stg_feed_source", "source_id"),
+            _other(FEED_ROW, "stg_feed_source", "channel_type", "api"),
+            *_null("history", "history", "version_id source_record_id valid_from"),
+            _repeated("history", "history", "version_id"),
+            *_null(
+                "lifecycle",
+                "lifecycle",
+                "event_id source_record_id first_captured_at version_count is_cancelled_now "
+                "was_cancelled_at_first_capture cancellation_observed",
+            ),
+            _repeated("lifecycle", "lifecycle", "event_id"),
+            _repeated("lifecycle", "lifecycle", "source_record_id"),
+            *_null("observations", "observations", "event_id observed_on was_cancelled_on_that_date"),
+            _repeated("observations", "observations", "event_id,observed_on"),
+            *_null("enriched", "enriched", "event_id source_id"),
+            _repeated("enriched", "enriched", "event_id"),
+            _other("enriched", "enriched", "freshness_status", "fresh stale abandoned"),
+            *_null("candidates", "candidates", "event_id event_name start_at source_url"),
+            _repeated("candidates", "candidates", "event_id"),
+            _other("candidates", "candidates", "activity_family", "active community social_learning creative other"),
+            _other(
+                "candidates", "candidates", "social_structure", "group_required solo_friendly solo_or_social solo_or_group"
+            ),
+            _other("candidates", "candidates", "group_suitability", "solo_private solo_social couple small_group"),
+            _other("candidates", "candidates", "freshness_status", "fresh stale"),
+            _rows_where("candidates", "candidates", "no_abandoned", "", "freshness_status = 'abandoned'"),
+            _rows_where("candidates", "candidates", "no_cancelled", "", "event_name ilike 'cancel%ed%'"),
+            _rows_where(
+                "candidates, clock", "candidates", "no_expired", "", "coalesce(end_at, start_at) < now_local"
+            ),
+            _rows_where("candidates", "candidates", "no_missing_url", "", "coalesce(source_url, '') = ''"),
+            _rows_where(
+                "candidates c join raw_events e using (event_id) join raw_sources s on e.source_id = s.source_id",
+                "candidates",
+                "no_inactive_source",
+                "",
+                "not s.is_active",
+            ),
+            _rows_where(
+                "candidates c join raw_events e using (event_id)",
+                "candidates",
+                "unknown_price_stays_unknown",
+                "",
+                "e.cost is null and c.price_amount is not null",
+            ),
+            *_null("organizations", "organizations", "source_id source_name upcoming_event_count"),
+            _repeated("organizations", "organizations", "source_id"),
+            _other("organizations", "organizations", "channel_type", "website meetup instagram api"),
+            *_null(
+                "reliability",
+                "reliability",
+                "source_id observation_window_days events_tracked events_with_observed_lifecycle "
+                "cancelled_before_tracking cancellations_observed",
+            ),
+            _repeated("reliability", "reliability", "source_id"),
+        ]
+    ),
+)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from outpulse import schemas
 from outpulse.functions import presentation, text
 from outpulse.operators import favorites, history, matching, upsert, validate
-from outpulse.plans import enrich, marts, recommendations, reliability, staging
+from outpulse.plans import enrich, marts, quality, recommendations, reliability, staging
 from outpulse.sources import adapters as data
 from outpulse.sources import curated, landed
 from outpulse.sources.adapters import CLOCK
@@ -238,6 +238,24 @@ def cost_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assertion of the pipeline over the tables that the test data gives."""
+    tables = quality.Tables(
+        sources=data.sources(spark, sf_dir),
+        curated=data.curated_events(spark, sf_dir),
+        feed=data.feed_now(spark, sf_dir),
+        zips=data.zip_centroids(spark, sf_dir),
+        history=scd2_history(spark, sf_dir),
+        lifecycle=event_lifecycle(spark, sf_dir),
+        observations=history.observe(data.feed_batches(spark, sf_dir)),
+        enriched=_enriched(spark, sf_dir),
+        candidates=candidate_mart(spark, sf_dir),
+        organizations=organizations(spark, sf_dir),
+        reliability=source_reliability(spark, sf_dir),
+    )
+    return quality.quality_report(tables, CLOCK)
+
+
 QUERIES: dict[str, Query] = {
     "organizations": organizations,
     "candidate_mart": candidate_mart,
@@ -269,4 +287,5 @@ QUERIES: dict[str, Query] = {
     "favorites_apply": favorites_apply,
     "organization_list": organization_list,
     "cost_labels": cost_labels,
+    "quality_report": quality_report,
 }

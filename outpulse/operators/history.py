@@ -17,7 +17,13 @@ from outpulse.plans.staging import DEFAULT_FEED, FeedProfile
 KEY = "source_record_id"
 CAPTURED_AT = "ingested_at"
 HISTORY_COLUMNS = [KEY, *schemas.HISTORY_CHECKED, *schemas.HISTORY_CARRIED, "version_id", "valid_from", "valid_to"]
+HISTORY_SCHEMA = """source_record_id string, title string, startdate date, enddate date, starttime string,
+ endtime string, location string, parknames string, categories string, link_url string, registration_url string,
+ lat double, lon double, ingested_at timestamp_ntz, version_id string, valid_from timestamp_ntz,
+ valid_to timestamp_ntz"""
 OBSERVATION_KEY = ["event_id", "observed_on"]
+OBSERVATION_SCHEMA = """source_record_id string, scheduled_for date, observed_on date, event_id string,
+ was_cancelled_on_that_date boolean, days_ahead_of_event int"""
 
 
 def version_id(key: Column, valid_from: Column) -> Column:
@@ -45,18 +51,6 @@ def history_from_batches(
     ).select(KEY, *checked, *carried, "version_id", "valid_from", "valid_to")
 
 
-def empty_history(spark) -> DataFrame:
-    feed = spark.createDataFrame([], schemas.FEED)
-    return feed.select(
-        KEY,
-        *schemas.HISTORY_CHECKED,
-        *schemas.HISTORY_CARRIED,
-        F.lit(None).cast("string").alias("version_id"),
-        F.lit(None).cast("timestamp_ntz").alias("valid_from"),
-        F.lit(None).cast("timestamp_ntz").alias("valid_to"),
-    )
-
-
 def snapshot(
     current: DataFrame,
     batch: DataFrame,
@@ -111,6 +105,46 @@ def snapshot(
     return both.select(F.inline(versions))
 
 
+def snapshot_batches(
+    current: DataFrame,
+    batches: DataFrame,
+    checked: Sequence[str] = schemas.HISTORY_CHECKED,
+    carried: Sequence[str] = schemas.HISTORY_CARRIED,
+) -> DataFrame:
+    """As ``snapshot`` for rows of several capture times at once, a key at most once per capture time.
+
+    Only keys that occur in the batches take part; the windows run over their open version and their new states. A
+    state captured before the open version began is late and is dropped.
+    """
+    keys = batches.select(KEY).distinct()
+    new = batches.select(
+        KEY,
+        *checked,
+        *carried,
+        version_id(F.col(KEY), F.col(CAPTURED_AT)).alias("version_id"),
+        F.col(CAPTURED_AT).alias("valid_from"),
+        F.lit(0).alias("_was_open"),
+    )
+    touched = current.join(keys, KEY, "left_semi").drop("valid_to").withColumn("_was_open", F.lit(1))
+    by_key = W.partitionBy(KEY)
+    by_time = by_key.orderBy("valid_from", F.desc("_was_open"))
+    state = F.struct(*checked)
+    late = (F.max("_was_open").over(by_key) == 1) & (
+        F.max("_was_open").over(by_time.rowsBetween(W.unboundedPreceding, W.currentRow)) == 0
+    )
+    versions = (
+        touched.unionByName(new)
+        .withColumn("_late", late)
+        .filter("not _late")
+        .withColumn("_first", F.lag(F.lit(True)).over(by_time).isNull())
+        .withColumn("_changed", F.col("_first") | ~state.eqNullSafe(F.lag(state).over(by_time)))
+        .filter("_changed")
+        .withColumn("valid_to", F.lead("valid_from").over(by_time))
+        .select(*HISTORY_COLUMNS)
+    )
+    return current.join(keys, KEY, "left_anti").select(*HISTORY_COLUMNS).unionByName(versions)
+
+
 def snapshot_history(history: DataFrame, batch: DataFrame, **options) -> DataFrame:
     """The whole history after a batch."""
     closed = history.filter("valid_to is not null").select(*HISTORY_COLUMNS)

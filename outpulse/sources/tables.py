@@ -33,8 +33,13 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def feed_state(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    """The raw feed table after a batch; empty before the first."""
-    return read_if_written(spark, f"{root}/feed/batch={batch}", schemas.FEED)
+    """The raw feed table after a batch. Batches count from zero; before that the table is empty.
+
+    A batch that is missing is an error: going on from nothing would lose what was known.
+    """
+    if batch < 0:
+        return spark.createDataFrame([], schemas.FEED)
+    return spark.read.schema(schemas.FEED).parquet(f"{root}/feed/batch={batch}")
 
 
 def write_feed_state(upserted: DataFrame, root: str, batch: int) -> DataFrame:
@@ -42,7 +47,10 @@ def write_feed_state(upserted: DataFrame, root: str, batch: int) -> DataFrame:
 
 
 def open_versions(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    return read_if_written(spark, f"{root}/history/batch={batch}/is_open=true", history.HISTORY_SCHEMA)
+    if batch < 0:
+        return spark.createDataFrame([], history.HISTORY_SCHEMA)
+    versions = spark.read.schema(f"{history.HISTORY_SCHEMA}, is_open boolean").parquet(f"{root}/history/batch={batch}")
+    return versions.filter("is_open").drop("is_open")
 
 
 def write_versions(open_and_closed: DataFrame, root: str, batch: int) -> None:

@@ -47,22 +47,19 @@ CATEGORY_LABELS = {
 }
 
 
-def mentions_any(text: Column, words: Sequence[str]) -> Column:
-    """True when ``text`` contains one of ``words``, without case; NULL for a NULL text."""
-    lowered = F.lower(text)
-    hit = lowered.contains(words[0].lower())
-    for word in words[1:]:
-        hit = hit | lowered.contains(word.lower())
-    return hit
-
-
-def feed_category(categories: Column) -> Column:
-    """The taxonomy value for a multi-valued category text, NULL when no word matches."""
-    result: Column | None = None
-    for category, words in FEED_CATEGORY_WORDS:
-        condition = mentions_any(categories, words)
-        result = F.when(condition, category) if result is None else result.when(condition, category)
-    return result
+def _any_word(column: str, words: Sequence[str]) -> str:
+    return " or ".join(f"contains(lower({column}), '{word.lower()}')" for word in words)
+
+
+def mentions_any(column: str, words: Sequence[str]) -> Column:
+    """True when the column's text contains one of ``words``, without case; NULL for a NULL text."""
+    return F.expr(_any_word(column, words))
+
+
+def feed_category(column: str) -> Column:
+    """The taxonomy value for a column of multi-valued category texts, NULL when no word matches."""
+    branches = " ".join(f"when {_any_word(column, words)} then '{name}'" for name, words in FEED_CATEGORY_WORDS)
+    return F.expr(f"case {branches} end")
 
 
 def is_cancelled_title(title: Column) -> Column:

@@ -196,6 +196,10 @@ class Ranking:
     ranked: DataFrame
     few_profiles: bool
 
+    def settled(self) -> Ranking:
+        """The same, computed once for a plan that uses it several times."""
+        return Ranking(settle(self.ranked), self.few_profiles)
+
 
 def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ranking:
     """The best candidates of every profile: by total, then by event id."""
@@ -208,16 +212,18 @@ def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ra
     # Keeping the first ids of a cell happens in every map task before the shuffle. The place matters only to scopes
     # whose profiles have an origin. Cells are then dealt out evenly, as each meets all profiles of its scope.
     partitions = int(wishes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_cell = W.partitionBy(*CELL).orderBy("event_id")
+    # The hash comes first only because it settles most comparisons of the sort; the full key decides.
+    cell = ["_hash", *CELL]
+    in_cell = W.partitionBy(*cell).orderBy("event_id")
     spot = F.split("spot", ",")
     cells = (
         _in_scope(events.repartition(partitions, "event_id"), scopes)
         .withColumn("spot", F.when(F.col("origin_known"), F.col("spot")).otherwise(F.lit(NOWHERE)))
-        .select("event_id", *CELL)
+        .select("event_id", *CELL, F.xxhash64(*CELL).alias("_hash"))
         .withColumn("_n", F.row_number().over(in_cell))
         .filter(F.col("_n") <= pool_size)
-        .repartition(partitions, *CELL)
-        .groupBy(*CELL)
+        .repartition(partitions, *cell)
+        .groupBy(*cell)
         .agg(F.collect_list("event_id").alias("event_ids"))
         .select(
             "scope_key",
@@ -284,7 +290,7 @@ def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ra
         .groupBy("profile_key")
         .agg(F.array_sort(F.collect_list("entry")).alias("pool"))
     )
-    return Ranking(settle(ranked), few)
+    return Ranking(ranked, few)
 
 
 def percent(part: Column) -> Column:

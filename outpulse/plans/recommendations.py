@@ -45,16 +45,24 @@ def serving_view(candidates: DataFrame) -> DataFrame:
     ).withColumn("cost", F.col("price_amount").cast("double")).drop("price_amount")
 
 
-def score_pools(requests: DataFrame, candidates: DataFrame, zips: DataFrame, clock: Clock) -> DataFrame:
-    """The pool of every request with all score components."""
+def score_pools(
+    requests: DataFrame, candidates: DataFrame, zips: DataFrame, clock: Clock, reused: bool = False
+) -> DataFrame:
+    """The pool of every request with all score components. ``reused`` says that the plan will read it repeatedly."""
     wishes = matching.asked(requests, zips)
-    return matching.pools(wishes, matching.rank(wishes, matching.rankable(candidates, clock)))
+    ranking = matching.rank(wishes, matching.rankable(candidates, clock))
+    return matching.pools(wishes, ranking.settled() if reused else ranking)
 
 
 def top_results(
-    requests: DataFrame, candidates: DataFrame, zips: DataFrame, clock: Clock, seed: int = 0
+    requests: DataFrame,
+    candidates: DataFrame,
+    zips: DataFrame,
+    clock: Clock,
+    seed: int = 0,
+    reused: bool = False,
 ) -> DataFrame:
-    return matching.select_results(score_pools(requests, candidates, zips, clock), seed)
+    return matching.select_results(score_pools(requests, candidates, zips, clock, reused), seed)
 
 
 def explained(
@@ -140,4 +148,4 @@ def recommend(
     clock: Clock,
     seed: int = 0,
 ) -> DataFrame:
-    return explained(top_results(requests, candidates, zips, clock, seed), candidates, favorites, clock)
+    return explained(top_results(requests, candidates, zips, clock, seed, reused=True), candidates, favorites, clock)

@@ -126,7 +126,7 @@ def stage_feed(feed: DataFrame, profile: FeedProfile = DEFAULT_FEED) -> DataFram
         F.concat(F.lit(profile.id_prefix), "source_record_id").alias("event_id"),
         F.lit(profile.source_id).alias("source_id"),
         F.col("title").alias("event_name"),
-        feed_category(F.col("categories")).alias("activity_category"),
+        feed_category("categories").alias("activity_category"),
         F.col("_start").alias("start_at"),
         F.when(F.col("_end") > F.col("_start"), F.col("_end")).alias("end_at"),
         F.lit(None).cast("decimal(12,2)").alias("price_amount"),
@@ -141,7 +141,7 @@ def stage_feed(feed: DataFrame, profile: FeedProfile = DEFAULT_FEED) -> DataFram
         F.lit(None).cast("string").alias("image_url"),
         F.col("description").alias("event_description"),
         is_cancelled_title(F.col("title")).alias("is_cancelled"),
-        mentions_any(F.col("categories"), ["Virtual/Online"]).alias("is_virtual"),
+        mentions_any("categories", ["Virtual/Online"]).alias("is_virtual"),
     )
 
 

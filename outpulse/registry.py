@@ -186,9 +186,13 @@ def request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _results(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFrame:
     return recommendations.top_results(
-        data.requests(spark, sf_dir), candidate_mart(spark, sf_dir), data.zip_centroids(spark, sf_dir), CLOCK
+        data.requests(spark, sf_dir),
+        candidate_mart(spark, sf_dir),
+        data.zip_centroids(spark, sf_dir),
+        CLOCK,
+        reused=reused,
     )
 
 
@@ -205,7 +209,7 @@ def request_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field that is shown for a result; the two lists as text."""
     shown = recommendations.explained(
-        _results(spark, sf_dir), candidate_mart(spark, sf_dir), data.favorites(spark, sf_dir), CLOCK
+        _results(spark, sf_dir, reused=True), candidate_mart(spark, sf_dir), data.favorites(spark, sf_dir), CLOCK
     )
     return shown.withColumns({"badges": F.array_join("badges", "|"), "tags": F.array_join("tags", "|")})
 

@@ -60,11 +60,13 @@ def parse_records(records: DataFrame, ingested_at: Column) -> tuple[DataFrame, D
 
     The original text stays with its row. Missing coordinates are no defect.
     """
+    # Unfolding the one parsed record keeps the parsing in a step of its own. As a plain column it would be repeated
+    # inside every filter on one of its fields.
     parsed = records.select(
         "raw_payload",
         ingested_at.cast("timestamp_ntz").alias("ingested_at"),
-        F.from_json("raw_payload", RECORD).alias("r"),
-    ).select("raw_payload", "ingested_at", "r.*")
+        F.inline(F.array(F.from_json("raw_payload", RECORD))),
+    )
 
     def unreadable(name: str) -> Column:
         return (F.trim(name) != "") & iso_date(F.col(name)).isNull()

@@ -4,9 +4,9 @@ from conftest import day, feed_row
 from test_upsert_history import random_batches, rows_of
 
 from __spark_entry__ import entry, oracle_sql, queries
-from outpulse.operators import history, quality
+from outpulse.operators import history, joins, matching, quality, upsert
 from outpulse.operators.quality import Expectations
-from outpulse.plans import refresh
+from outpulse.plans import recommendations, refresh
 from outpulse.plans.refresh import Inputs
 from outpulse.sources import tables
 from outpulse.streaming import feed_stream
@@ -33,6 +33,16 @@ def test_query_equals_sql(spark, duck, name):
     spark.catalog.clearCache()
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["candidate_mart", "favorites_flag", "request_explained", "request_feasible", "scd2_incremental", "upsert_final_state"],
+)
+def test_query_equals_sql_when_nothing_is_small(spark, duck, monkeypatch, name):
+    for module in (joins, matching, upsert, history, recommendations):
+        monkeypatch.setattr(module, "is_small", lambda df, *limit: False)
+    test_query_equals_sql(spark, duck, name)
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 

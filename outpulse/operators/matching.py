@@ -235,6 +235,10 @@ def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ra
         )
     )
 
+    if not few:
+        # Finding the hot scopes takes a pass of its own over the cells.
+        cells = settle(cells)
+
     def scored(sought: DataFrame) -> DataFrame:
         """Every cell with the profiles of its scope, and the components of the score."""
         if few:

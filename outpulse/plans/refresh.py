@@ -12,7 +12,7 @@ from outpulse.operators import history
 from outpulse.operators.upsert import last_per_key, upsert
 from outpulse.plans import enrich, marts, quality, reliability, staging
 from outpulse.plans.staging import DEFAULT_FEED, FeedProfile
-from outpulse.sources import tables
+from outpulse.sources import curated, tables
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,25 @@ class Inputs:
     zips: DataFrame
 
 
+def load_curated(
+    spark: SparkSession, root: str, batch: int, sources_csv: str, events_csv: str, policy: str = "fail"
+) -> dict[str, DataFrame]:
+    """Take the curated files into their raw tables, sources first. Returns the rejects of both by table name.
+
+    Under the strict policy a bad file stops the load before anything of it is written.
+    """
+    rejects = {}
+    for name, path, load in (
+        ("sources", sources_csv, curated.load_sources),
+        ("events", events_csv, curated.load_events),
+    ):
+        rows, rejects[name] = load(curated.read_text_table(spark, path), path, policy)
+        last = last_per_key(rows, schemas.KEYS[name], [curated.ROW]).drop(curated.ROW)
+        upserted = upsert(tables.state(spark, root, name, batch - 1), last, schemas.KEYS[name])
+        tables.write_state(upserted, root, name, batch)
+    return rejects
+
+
 def load_feed_batch(
     spark: SparkSession, root: str, batch: int, rows: DataFrame, profile: FeedProfile = DEFAULT_FEED
 ) -> DataFrame:
@@ -33,8 +52,8 @@ def load_feed_batch(
     The history is written before the next batch can overwrite the feed.
     """
     key = schemas.KEYS["feed"]
-    state = upsert(tables.feed_state(spark, root, batch - 1), rows, key, [history.CAPTURED_AT])
-    feed = tables.write_feed_state(state, root, batch)
+    upserted = upsert(tables.state(spark, root, "feed", batch - 1), rows, key, [history.CAPTURED_AT])
+    feed = tables.write_state(upserted, root, "feed", batch)
     captured = last_per_key(rows, [*key, history.CAPTURED_AT], ["raw_payload"])
     versions = history.snapshot_batches(tables.open_versions(spark, root, batch - 1), captured)
     tables.write_versions(versions, root, batch)
@@ -46,7 +65,7 @@ def build_marts(
     spark: SparkSession, root: str, batch: int, inputs: Inputs, clock: Clock, profile: FeedProfile = DEFAULT_FEED
 ) -> quality.Tables:
     """All marts after a batch, each written once and read by what follows."""
-    feed = tables.feed_state(spark, root, batch)
+    feed = tables.state(spark, root, "feed", batch)
     events = staging.all_events(inputs.events, feed, profile)
     sources = staging.all_sources(inputs.sources, feed, profile)
 

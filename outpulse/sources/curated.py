@@ -11,9 +11,14 @@ from outpulse.operators.validate import parsed_time, require_clean, require_colu
 from outpulse.operators.validate import is_bad_time, is_missing
 
 
+# The position of a row in its file, so that the last of several rows with one key is known.
+ROW = "_row"
+
+
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, every column as text, blank cells as NULL."""
-    return spark.read.options(header=True, multiLine=True, escape='"', mode="PERMISSIVE").csv(path)
+    cells = spark.read.options(header=True, multiLine=True, escape='"', mode="PERMISSIVE").csv(path)
+    return cells.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def conform(raw: DataFrame, schema: str, defaults: dict | None = None) -> DataFrame:
@@ -32,7 +37,7 @@ def conform(raw: DataFrame, schema: str, defaults: dict | None = None) -> DataFr
         else:
             value = F.col(field.name).try_cast(field.dataType.simpleString())
         columns.append(value.alias(field.name))
-    return raw.select(*columns)
+    return raw.select(*columns, *[name for name in raw.columns if name == ROW])
 
 
 def _load(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from outpulse import schemas
 from outpulse.operators import history
-from outpulse.operators.upsert import STATUS
+from outpulse.operators.upsert import STATUS, upsert_counts
 from outpulse.plans.staging import DEFAULT_FEED, FeedProfile
 
 
@@ -32,18 +32,32 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def feed_state(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    """The raw feed table after a batch. Batches count from zero; before that the table is empty.
+SCHEMAS = {"feed": schemas.FEED, "sources": schemas.SOURCES, "events": schemas.EVENTS}
 
-    A batch that is missing is an error: going on from nothing would lose what was known.
+
+def state(spark: SparkSession, root: str, name: str, batch: int) -> DataFrame:
+    """A raw table after a batch, with the columns it was written with and any declared since, which are NULL.
+
+    Batches count from zero; before that the table is empty. A batch that is missing is an error: going on from
+    nothing would lose what was known.
     """
+    declared = spark.createDataFrame([], SCHEMAS[name])
     if batch < 0:
-        return spark.createDataFrame([], schemas.FEED)
-    return spark.read.schema(schemas.FEED).parquet(f"{root}/feed/batch={batch}")
+        return declared
+    written = spark.read.parquet(f"{root}/{name}/batch={batch}").drop(STATUS)
+    added = [field for field in declared.schema.fields if field.name not in written.columns]
+    return written.select("*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in added])
+
+
+def write_state(upserted: DataFrame, root: str, name: str, batch: int) -> DataFrame:
+    """The outcome of an upsert as the state of its batch. What happened to each row stays beside it."""
+    write_table(upserted, f"{root}/{name}/batch={batch}")
+    return state(upserted.sparkSession, root, name, batch)
 
 
-def write_feed_state(upserted: DataFrame, root: str, batch: int) -> DataFrame:
-    return write_table(upserted.drop(STATUS), f"{root}/feed/batch={batch}")
+def load_counts(spark: SparkSession, root: str, name: str, batch: int) -> DataFrame:
+    """``(inserted, updated)`` of the batch, from the one column that the state keeps for it."""
+    return upsert_counts(spark.read.parquet(f"{root}/{name}/batch={batch}").select(STATUS))
 
 
 def open_versions(spark: SparkSession, root: str, batch: int) -> DataFrame:

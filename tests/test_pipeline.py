@@ -6,6 +6,7 @@ from test_upsert_history import random_batches, rows_of
 from __spark_entry__ import entry, oracle_sql, queries
 from outpulse.operators import history, joins, matching, quality, upsert
 from outpulse.operators.quality import Expectations
+from outpulse.operators.validate import ValidationError
 from outpulse.plans import recommendations, refresh
 from outpulse.plans.refresh import Inputs
 from outpulse.sources import tables
@@ -94,7 +95,32 @@ def test_a_whole_refresh_is_clean_and_repeatable(spark, tmp_path, feed_frame, so
 
 def test_a_missing_batch_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        tables.feed_state(spark, str(tmp_path), 4)
+        tables.state(spark, str(tmp_path), "feed", 4)
+
+
+def test_curated_files_are_upserted(spark, tmp_path):
+    sources, events, root = (str(tmp_path / name) for name in ("s.csv", "e.csv", "tables"))
+    (tmp_path / "s.csv").write_text("source_id,name,category,channel_type,url\ns1,One,active,website,u\n")
+    header = "event_id,source_id,title,category,start_time,location,cost\n"
+    (tmp_path / "e.csv").write_text(header + "e1,s1,Old,active,2026-07-22T18:30:00,P,\ne1,s1,New,active,2026-07-22T18:30:00,P,5\n")
+    refresh.load_curated(spark, root, 0, sources, events)
+    assert tuple(tables.load_counts(spark, root, "events", 0).first()) == (1, 0)
+    assert [r["title"] for r in tables.state(spark, root, "events", 0).collect()] == ["New"]
+    (tmp_path / "e.csv").write_text(header + "e1,s1,Newer,active,bad,P,5\ne2,s1,Two,active,2026-07-22T18:30:00,P,\n")
+    rejects = refresh.load_curated(spark, root, 1, sources, events, policy="quarantine")
+    assert tuple(tables.load_counts(spark, root, "events", 1).first()) == (1, 0)
+    assert tuple(tables.load_counts(spark, root, "sources", 1).first()) == (0, 1)
+    assert [r["event_id"] for r in rejects["events"].collect()] == ["e1"]
+    assert {r["event_id"]: r["title"] for r in tables.state(spark, root, "events", 1).collect()} == {"e1": "New", "e2": "Two"}
+    with pytest.raises(ValidationError, match="start_time"):
+        refresh.load_curated(spark, root, 1, sources, events)
+
+
+def test_a_written_state_may_lack_later_columns(spark, tmp_path):
+    old = spark.createDataFrame([("s1", "One")], "source_id string, name string")
+    old.write.parquet(f"{tmp_path}/sources/batch=0")
+    state = tables.state(spark, str(tmp_path), "sources", 0)
+    assert "image_url" in state.columns and state.first()["image_url"] is None
 
 
 @pytest.mark.parametrize("files_per_batch", [1, None])

@@ -5,11 +5,13 @@ A request is never paired with every candidate. The work goes through three redu
 * requests that ask for the same thing share one *profile*, and profiles with the same hard constraints one *scope*;
 * candidates that no profile of a scope can tell apart (same confidence, same tags, same place) form a *cell*, of
   which only the first few by id can ever be chosen, so a cell keeps no more than that;
-* a histogram of totals per profile gives the total below which nothing is chosen.
+* a histogram of totals per profile gives a total below which nothing is chosen.
 
-Scopes meet candidates through an equality join on category and date. The size of what follows depends on the number
-of distinct constraints, places and confidence levels, not on the number of rows: however many copies of an event
-exist, they end in one cell.
+Scopes meet candidates through an equality join on category and date, profiles meet cells through one on scope and
+area. Beyond the proximity radius a place makes no difference to the score, so there a scope has one *far* cell for all
+places; a profile with an origin meets the cells of the tiles around it, and the far cells. The size of all this depends
+on the number of distinct constraints, confidence levels and places nearby, not on the number of rows: however many
+copies of an event exist, they end in one cell.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from outpulse.clock import Clock
 from outpulse.functions import scoring
-from outpulse.functions.geo import haversine_miles
+from outpulse.functions.geo import haversine_miles, tile, tiles_within
 from outpulse.functions.rounding import round_tenth
 from outpulse.functions.text import tag_set
 from outpulse.operators.joins import is_small, lookup_join, salted_join
@@ -34,8 +36,9 @@ POOL_SIZE = 10
 
 CONSTRAINTS = ["category_key", "max_cost", "solo_required", "date", "after_seconds", "hours_free"]
 # What tells the candidates of a scope apart, as text: grouping by doubles would shuffle once more to normalise them.
-CELL = ["scope_key", "confidence_text", "tags_text", "spot"]
+CELL = ["scope_key", "area", "confidence_text", "tags_text", "cell_spot"]
 NOWHERE = ""
+FAR = "far"
 TAG_SEPARATOR = "|"
 # Stands for "any" in a route; real values carry a mark, so they cannot be mistaken for it.
 ANY = "*"
@@ -108,6 +111,7 @@ def rankable(candidates: DataFrame, clock: Clock) -> DataFrame:
         F.coalesce(F.concat(F.col("lat").cast("string"), F.lit(","), F.col("lon").cast("string")), F.lit(NOWHERE)).alias(
             "spot"
         ),
+        tile(F.col("lat"), F.col("lon")).alias("tile"),
     )
 
 
@@ -201,76 +205,106 @@ class Ranking:
         return Ranking(settle(self.ranked), self.few_profiles)
 
 
-def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ranking:
-    """The best candidates of every profile: by total, then by event id."""
-    scopes = wishes.select("scope_key", *CONSTRAINTS, "origin_known").distinct()
-    profiles = wishes.select(
-        "profile_key", "scope_key", "wanted_vibe", "origin_known", "origin_lat", "origin_lon"
-    ).distinct()
-    few = is_small(profiles)
+def _cells(events: DataFrame, scopes: DataFrame, size: int) -> DataFrame:
+    """What the profiles of a scope can tell apart, with the first ``size`` events of each by id.
+
+    An event with a place is in the cell of its place, and in the far cell, which ignores the place. Keeping the first
+    ids happens in every map task before the shuffle. Cells are then dealt out evenly.
+    """
+    partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    # Keeping the first ids of a cell happens in every map task before the shuffle. The place matters only to scopes
-    # whose profiles have an origin. Cells are then dealt out evenly, as each meets all profiles of its scope.
-    partitions = int(wishes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def area(name: Column, spot: Column) -> Column:
+        return F.struct(name.alias("area"), spot.alias("cell_spot"))
+
+    here = area(F.col("tile"), F.col("spot"))
+    far, anywhere = area(F.lit(ANY), F.lit(FAR)), area(F.lit(ANY), F.lit(NOWHERE))
+    placed = F.col("origin_known") & (F.col("spot") != NOWHERE)
     # The hash comes first only because it settles most comparisons of the sort; the full key decides.
     cell = ["_hash", *CELL]
     in_cell = W.partitionBy(*cell).orderBy("event_id")
-    spot = F.split("spot", ",")
-    cells = (
+    place = F.split("cell_spot", ",")
+    return (
         _in_scope(events.repartition(partitions, "event_id"), scopes)
-        .withColumn("spot", F.when(F.col("origin_known"), F.col("spot")).otherwise(F.lit(NOWHERE)))
-        .select("event_id", *CELL, F.xxhash64(*CELL).alias("_hash"))
+        .select("*", F.inline(F.when(placed, F.array(here, far)).otherwise(F.array(anywhere))))
+        .select("event_id", "spot", *CELL, F.xxhash64(*CELL).alias("_hash"))
         .withColumn("_n", F.row_number().over(in_cell))
-        .filter(F.col("_n") <= pool_size)
+        .filter(F.col("_n") <= size)
         .repartition(partitions, *cell)
         .groupBy(*cell)
-        .agg(F.collect_list("event_id").alias("event_ids"))
+        .agg(F.collect_list(F.struct("event_id", "spot")).alias("members"))
         .select(
             "scope_key",
+            "area",
             F.col("confidence_text").try_cast("double").alias("confidence"),
             F.split("tags_text", r"\|").alias("tags"),
-            F.get(spot, 0).try_cast("double").alias("lat"),
-            F.get(spot, 1).try_cast("double").alias("lon"),
-            "event_ids",
+            (F.col("area") != ANY).alias("near"),
+            (F.col("cell_spot") == FAR).alias("far"),
+            F.get(place, 0).try_cast("double").alias("lat"),
+            F.get(place, 1).try_cast("double").alias("lon"),
+            "members",
         )
     )
 
+
+def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ranking:
+    """The best candidates of every profile: by total, then by event id."""
+    scopes = wishes.select("scope_key", *CONSTRAINTS, "origin_known").distinct()
+    profiles = wishes.select(
+        "profile_key", "scope_key", "wanted_vibe", "origin_known", "origin_lat", "origin_lon"
+    ).distinct()
+    around = tiles_within(F.col("origin_lat"), F.col("origin_lon"), scoring.MAX_PROXIMITY_MILES)
+    areas = F.when(F.col("origin_known"), F.array_append(around, F.lit(ANY))).otherwise(F.array(F.lit(ANY)))
+    few = is_small(profiles.select(F.explode(areas)))
+    cells = _cells(events, scopes, pool_size)
     if not few:
         # Finding the hot scopes takes a pass of its own over the cells.
         cells = settle(cells)
 
     def scored(sought: DataFrame) -> DataFrame:
-        """Every cell with the profiles of its scope, and the components of the score."""
+        """The cells that each profile meets, with the components of the score. A far cell has no proximity."""
+        keys = ["scope_key", "area"]
+        seeking = sought.withColumn("area", F.explode(areas))
         if few:
-            pairs = cells.join(F.broadcast(sought), "scope_key")
+            pairs = cells.join(F.broadcast(seeking), keys)
         else:
-            pairs = salted_join(cells, sought, ["scope_key"], spread_by=["lat", "lon", "confidence", "tags"], how="inner")
+            pairs = salted_join(cells, seeking, keys, spread_by=["lat", "lon", "confidence", "tags"], how="inner")
         parts = [F.col("confidence"), F.col("proximity"), F.col("vibe")]
         miles = haversine_miles(F.col("origin_lat"), F.col("origin_lon"), F.col("lat"), F.col("lon"))
+        closeness = scoring.proximity(F.col("distance"), F.col("origin_known"))
         return (
             pairs.withColumn("distance", miles)
             .withColumns(
                 {
-                    "proximity": scoring.proximity(F.col("distance"), F.col("origin_known")),
+                    "proximity": F.when(F.col("far"), F.lit(0.0)).otherwise(closeness),
                     "vibe": scoring.vibe_match(F.col("tags"), F.col("wanted_vibe")),
                 }
             )
             .withColumn("_weight", scoring.known_weight(*parts))
             .withColumn("_percent", scoring.weighted_percent(*parts, F.col("_weight")))
             .withColumn("total", round_tenth(F.col("_percent")))
+            # A place in a tile around the origin may still be out of reach; then the far cell speaks for it.
+            .withColumn("_counts", ~F.col("near") | (F.col("proximity") > 0))
         )
 
-    # Totals have one decimal, so a profile has at most 1001 of them, whatever the number of cells.
-    by_total = W.partitionBy("profile_key").orderBy(F.desc("total"))
-    better = F.sum("_events").over(by_total.rowsBetween(W.unboundedPreceding, -1))
+    # An event in reach is in the cell of its place and in a far cell, so the two kinds are not counted together. Each
+    # kind, with the events that have no place, gives a total that the last chosen event cannot be below; the higher
+    # one is taken. Totals have one decimal, so each has at most 1001 of them, whatever the number of cells.
+    kinds = (
+        F.when(F.col("near"), F.when(F.col("_counts"), F.array(F.lit("near"))))
+        .when(F.col("far"), F.array(F.lit("far")))
+        .otherwise(F.array(F.lit("near"), F.lit("far")))
+    )
+    by_total = W.partitionBy("profile_key", "_kind").orderBy(F.desc("total"))
     floor = (
         scored(profiles)
-        .groupBy("profile_key", "total")
-        .agg(F.sum(F.size("event_ids")).alias("_events"))
-        .withColumn("_better", F.coalesce(better, F.lit(0)))
-        .filter(F.col("_better") < pool_size)
+        .select("profile_key", "total", F.size("members").alias("_events"), F.explode_outer(kinds).alias("_kind"))
+        .filter("_kind is not null")
+        .groupBy("profile_key", "_kind", "total")
+        .agg(F.sum("_events").alias("_events"))
+        .withColumn("_reached", F.sum("_events").over(by_total.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .filter(F.col("_reached") >= pool_size)
         .groupBy("profile_key")
-        .agg(F.min("total").alias("_floor"))
+        .agg(F.max("total").alias("_floor"))
     )
     entry = F.struct(
         F.row_number().over(W.partitionBy("profile_key").orderBy(F.desc("total"), F.asc("event_id"))).alias("position"),
@@ -279,16 +313,26 @@ def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ra
         percent(F.col("confidence")).alias("confidence_score"),
         scoring.confidence_label(F.col("confidence")).alias("confidence_label"),
         percent(F.col("proximity")).alias("proximity_score"),
-        round_tenth(F.col("distance")).alias("distance_miles"),
+        round_tenth(F.col("miles")).alias("distance_miles"),
         percent(F.col("vibe")).alias("vibe_score"),
     )
     # The comparison decides what is unfolded instead of being a filter: a filter would move below the columns of the
     # score and compute each of them many times over.
-    chosen_ids = F.when(F.col("total") >= F.col("_floor"), F.col("event_ids"))
+    chosen = F.when(F.col("_counts") & (F.col("total") >= F.coalesce("_floor", F.lit(0.0))), F.col("members"))
+    place = F.split("member.spot", ",")
+    miles = haversine_miles(
+        F.col("origin_lat"),
+        F.col("origin_lon"),
+        F.get(place, 0).try_cast("double"),
+        F.get(place, 1).try_cast("double"),
+    )
     ranked = (
-        scored(profiles.join(floor, "profile_key"))
-        .withColumn("event_id", F.explode_outer(chosen_ids))
-        .filter("event_id is not null")
+        scored(profiles.join(floor, "profile_key", "left"))
+        .withColumn("member", F.explode_outer(chosen))
+        .filter("member is not null")
+        .withColumns({"event_id": F.col("member.event_id"), "miles": miles})
+        # In reach, the cell of its place speaks for an event.
+        .filter(~F.col("far") | (F.col("miles") / scoring.MAX_PROXIMITY_MILES >= 1))
         .select("profile_key", entry.alias("entry"))
         .filter(F.col("entry.position") <= pool_size)
         .groupBy("profile_key")

@@ -150,7 +150,8 @@ def test_pools_equal_brute_force(spark, zips, clock, monkeypatch, seed, broadcas
                 end_at=pick([None, start + dt.timedelta(hours=pick([1, 2, 3]))]),
                 price_amount=pick([None, Decimal(0), Decimal(5), Decimal(20)]), solo_friendly=pick([None, True, False]),
                 vibe_tags=pick([None, "chill|social", " Social ", "creative", "solo_focus|chill"]),
-                lat=40.72 if hot else pick([None, 40.70, 40.75, 40.80]), lon=-73.99 if hot else pick([-74.0, -73.95]),
+                lat=40.72 if hot else pick([None, 40.70, 40.75, rng.uniform(40.4, 41.1)]),
+                lon=-73.99 if hot else pick([-74.0, -73.95, rng.uniform(-74.4, -73.5)]),
                 channel_type=pick(["website", "Meetup", "instagram", "fax"]), update_cadence=pick(["daily", "weekly", None]),
                 source_last_checked=day(pick(["2026-07-20", "2026-07-12", "2026-06-01"])),
             )
@@ -230,6 +231,24 @@ def test_haversine(spark):
     assert spark.range(1).select(haversine_miles(*lits)).first()[0] == pytest.approx(1.36643, abs=1e-5)
 
 
+def test_every_point_in_reach_is_in_a_tile_around(spark):
+    from outpulse.functions.geo import haversine_miles, tile, tiles_within
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(3000):
+        lat, lon = rng.choice([40.7, -33.9, 0.0, 64.1, 85.0, rng.uniform(-89, 89)]), rng.choice([-74.0, 179.99, -179.99, rng.uniform(-180, 180)])
+        spread = 0.13 / max(0.05, math.cos(math.radians(lat)))
+        other = (lon + rng.uniform(-spread, spread) + 180) % 360 - 180
+        rows.append((lat, lon, lat + rng.uniform(-0.12, 0.12), other))
+    points = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    a, b, c, d = (F.col(name) for name in "abcd")
+    near = points.filter(haversine_miles(a, b, c, d) < 8)
+    assert near.count() > 1000
+    assert near.filter(~F.array_contains(tiles_within(a, b, 8.0), tile(c, d))).count() == 0
+    assert spark.range(1).select(F.size(tiles_within(F.lit(40.7), F.lit(-74.0), 8.0))).first()[0] <= 12
+
+
 def shown(spark, **values):
     base = dict(
         title="T", category="active", vibe_tags=None, solo_friendly=None, beginner_friendly=None, cost=None,

@@ -92,3 +92,6 @@ QUERIES = {
     f.__name__: f
     for f in (op1_suffix_dedup, op2_warc, op4_near_dedup, op5_decontaminate, op7_url_filter, op8_language_id, op9_quality_rules, op10_packing)
 }
+
+#: DuckDB SQL for the queries that it can express.
+SQL: dict[str, str] = {}

@@ -1,8 +1,8 @@
 """Removal of byte strings that occur more than once anywhere in a corpus.
 
-Every window of ``size`` bytes is filed under an anchor, the smallest hash of the ``ANCHOR``-byte strings inside it. Equal
-windows have equal anchors, so a window can repeat only under an anchor that occurs elsewhere. Successive windows of a
-text with one anchor form a piece. Pieces of repeated anchors are brought together, equal ones folded into one with a
+Every window of ``size`` bytes is filed under an anchor, that of the ``ANCHOR``-byte strings inside it that has the
+smallest hash, the last one of equals. Equal windows have equal anchors at the same place, so a window can repeat only
+under an anchor that occurs elsewhere. Successive windows of a text with their anchor at one place form a piece. Pieces of repeated anchors are brought together, equal ones folded into one with a
 count, and their texts indexed by a Burrows-Wheeler transform. Breadth-first backward extension of its intervals then
 derives the common prefixes of neighbouring suffixes by increasing value and stops at ``size``: what has got no value by
 then agrees in ``size`` bytes or more.
@@ -25,14 +25,13 @@ from outpulse.llm.rolling import all_stretches, prefix_hashes, stretches
 SIZE = 200
 #: Bytes hashed for an anchor, at most ``SIZE``. Longer anchors are more, but fewer of them are shared by chance.
 ANCHOR = 40
-#: Windows of a piece at most. A long repetitive stretch becomes several pieces with the same anchor.
-PIECE_WINDOWS = 2048
 #: Distinct pieces of an anchor beyond which each of their windows is filed under its own hash instead.
 HOT_PIECES = 4096
 #: Piece bytes that a task indexes on average.
 SHARD_BYTES = 2 << 20
 #: Bytes hashed at a time, few enough for a processor's cache.
 BLOCK = 1 << 17
+_PLACE = np.uint64((1 << 18) - 1)
 
 _PIECES_DDL = f"{ROW} bigint, anchor bigint, content bigint, start bigint, windows int"
 _FOUND_DDL = "anchor bigint, content bigint, found array<int>"
@@ -53,7 +52,9 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
 def _block_pieces(data: np.ndarray, ends: np.ndarray, size: int, anchor: int):
     """``(start, windows, anchor, content)`` of the pieces of some joined texts that end at ``ends``."""
     sums = prefix_hashes(data)
-    least = _window_minima(all_stretches(sums, anchor), size - anchor + 1)
+    hashes = all_stretches(sums, anchor)
+    # The low bits give the place, counted from behind.
+    least = _window_minima(hashes & ~_PLACE | _PLACE - np.arange(len(hashes), dtype=np.uint64), size - anchor + 1)
     # A window must not reach over the end of its text.
     starts = np.arange(len(least))
     lengths = np.diff(ends, prepend=0)
@@ -67,13 +68,8 @@ def _block_pieces(data: np.ndarray, ends: np.ndarray, size: int, anchor: int):
     valid = np.add.reduceat(inside, first) if len(first) else count
     keep = valid > 0
     first, count = first[keep], valid[keep]
-    if len(count) and count.max() > PIECE_WINDOWS:
-        parts = -(-count // PIECE_WINDOWS)
-        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(first, parts) + step * PIECE_WINDOWS
-        count = np.minimum(np.repeat(count, parts) - step * PIECE_WINDOWS, PIECE_WINDOWS)
     content = stretches(sums, first, first + count + size - 1)
-    return first, count, least[first], content
+    return first, count, hashes[(_PLACE - (least[first] & _PLACE)).astype(np.int64)], content
 
 
 def pieces_of(texts: list[bytes], size: int = SIZE, anchor: int = ANCHOR) -> Iterator[tuple]:

@@ -20,7 +20,9 @@ from outpulse.llm.common import as_bytes
 
 CAPACITY = 1024
 END_ID = 2
-OPEN_BINS = 1024
+OPEN_BINS = 8192
+#: Pieces that arrive at a time; of these the longest is placed first.
+ARRIVING = 4096
 #: Text that the byte-level vocabulary knows as one special token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
@@ -111,7 +113,9 @@ def _pack_batches(capacity: int, open_bins: int):
         # Sequences of different tasks have different numbers.
         base = TaskContext.get().partitionId() << 33
         packer = BestFit(capacity, open_bins)
-        for batch in batches:
+        arriving = (batch.slice(at, ARRIVING) for batch in batches for at in range(0, len(batch), ARRIVING))
+        for batch in arriving:
+            batch = batch.sort_by([("length", "descending"), ("row_no", "ascending"), ("piece", "ascending")])
             placed = [packer.place(length) for length in batch.column("length").to_pylist()]
             sequence = pa.array([base + number for number, _ in placed], pa.int64())
             offset = pa.array([at for _, at in placed], pa.int64())

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outpulse.llm import decontaminate, language_id, near_dedup, packing, quality_rules, suffix_dedup, url_filter, warc
+from outpulse.llm import (
+    decontaminate,
+    language_id,
+    near_dedup,
+    packing,
+    perplexity,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    url_filter,
+    warc,
+)
 from outpulse.llm.common import table
 
 #: Rules of the URL query: verdict, host, path prefix.
@@ -36,6 +47,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens before and after its personal data is redacted."""
+    trees = token_counts.build_trees(table(spark, sf_dir, "documents"), *vocabulary())
+    edits = F.arrow_udf(token_counts.redactions, token_counts.EDITS_DDL).asNondeterministic()
+    edited = token_counts.apply_edits(trees.withColumn("edits", edits("text")), *vocabulary())
+    return edited.select("doc_id", "tokens_before", "tokens_after", "n_edits", "chars_encoded", F.size("tree.chars").alias("n_leaves"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, words=3, percent=85)
@@ -63,6 +82,11 @@ def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return perplexity.classify(docs, table(spark, sf_dir, "labels"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge_urls(pages, listed_urls(spark, sf_dir), URL_RULES)
@@ -89,8 +113,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f
-    for f in (op1_suffix_dedup, op2_warc, op4_near_dedup, op5_decontaminate, op7_url_filter, op8_language_id, op9_quality_rules, op10_packing)
+    query.__name__: query
+    for query in (
+        op1_suffix_dedup,
+        op2_warc,
+        op3_token_counts,
+        op4_near_dedup,
+        op5_decontaminate,
+        op6_quality_classifier,
+        op7_url_filter,
+        op8_language_id,
+        op9_quality_rules,
+        op10_packing,
+    )
 }
 
 #: DuckDB SQL for the queries that it can express.

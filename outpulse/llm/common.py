@@ -15,7 +15,7 @@ from outpulse.session import CHECKPOINT_SETTING
 
 ROW = "row_no"
 
-#: A table of row numbers of at most this many rows (8 bytes each) may be broadcast.
+#: A table of at most this many numbers or short strings may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -67,11 +67,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast while it is small. Otherwise it is shuffled by itself, so that Spark
+    can split the frequent keys of what it is joined with."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
     """``df`` without the row numbers of ``dropped`` (a written table): broadcast while it is small, else a shuffled join."""
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return df.join(dropped, ROW, "left_anti")
+    return df.join(light(dropped), ROW, "left_anti")
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outpulse.llm.common import BROADCAST_ROWS, ROW, as_bytes, numbered, written
+from outpulse.llm.common import ROW, as_bytes, light, numbered, written
 from outpulse.llm.rolling import prefix_hashes, stretches
 
 TREES = 20
@@ -126,7 +126,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """The pairs ``(a, b)`` whose full sets are similar enough. ``texts(row_no, text)`` is read where it is needed only."""
     pairs = written(pairs, "candidates")
     ends = written(pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct(), "ends")
-    wanted = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, ROW)
+    wanted = texts.join(light(ends), ROW)
     first = wanted.select(F.col(ROW).alias("a"), F.col("text").alias("text_a"))
     second = wanted.select(F.col(ROW).alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
@@ -145,9 +145,10 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).union(edges.select("m", "v"))
-        least = both.groupBy("u").agg(F.min("w").alias("m")).withColumn("m", F.least("u", "m"))
+        least = written(both.groupBy("u").agg(F.min("w").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.join(least, "u").filter("w > u").select(F.col("w").alias("v"), "m").distinct()
-        low = large.groupBy("v").agg(F.min("m").alias("least"))
+        large = written(large, "edges")
+        low = written(large.groupBy("v").agg(F.min("m").alias("least")), "least")
         hooked = large.join(low, "v")
         small = hooked.filter("m <> least").select(F.col("m").alias("v"), F.col("least").alias("m")).union(low)
         edges = written(small.distinct(), "edges")
@@ -162,6 +163,8 @@ def _regions(forest: DataFrame) -> DataFrame:
     for i in range(len(DEPTHS)):
         known = forest if i == 0 else forest.filter(F.col(f"n{i - 1}") > REGION)
         sizes = known.groupBy(f"p{i}").agg(F.count("*").alias(f"n{i}"), F.min("node").alias(f"first{i}")).filter(F.col(f"n{i}") > 1)
+        # Written by itself, as Spark splits a frequent key only where both sides come from a shuffle of their own.
+        sizes = written(sizes, "region-sizes")
         if i == 0:
             forest = written(forest.join(sizes, "p0"), "forest")
             dense = forest.filter(F.col("n0") > REGION)
@@ -184,7 +187,7 @@ def _neighbours(regions: DataFrame, roots: DataFrame) -> DataFrame:
     placed = placed.select("node", "root", region.alias("region"), size.alias("size"), f"p{last}").filter("size > 1")
     # A region of one group has nothing left to compare.
     mixed = placed.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("region")
-    placed = written(placed.join(mixed, "region"), "open-regions")
+    placed = written(placed.join(written(mixed, "mixed-regions"), "region"), "open-regions")
     small = placed.filter(F.col("size") <= REGION)
     other = small.select("region", F.col("node").alias("b"), F.col("root").alias("root_b"))
     pairs = small.join(other, "region").filter("node < b and root <> root_b").select(F.col("node").alias("a"), "b")
@@ -228,7 +231,7 @@ def grouped(docs: DataFrame, text: str = "text", words: int = 5, percent: int =
         roots = components(links.union(rest))
     placed = classes.select("d0", "d1", "node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = placed.groupBy("root").agg(F.min("least").alias("group_least"), F.sum("copies").alias("members")).filter("members > 1")
-    of_class = placed.join(groups, "root").select("d0", "d1", "group_least")
+    of_class = placed.join(written(groups, "groups"), "root").select("d0", "d1", "group_least")
     return (
         signed.select(ROW, "doc_id", "n_shingles", "d0", "d1")
         .join(of_class, ["d0", "d1"], "left")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outpulse.llm.common import BROADCAST_ROWS, as_bytes, written
+from outpulse.llm.common import as_bytes, light, written
 
 SYMBOLS = 40
 ORDER = 4
@@ -146,7 +146,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     good = written(good.filter("trusted"), "trusted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     fold = F.when(F.col("trusted"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")).alias("fold")
-    marked = rows.join(F.broadcast(good) if good.count() <= BROADCAST_ROWS else good, "doc_id", "left").select("doc_id", "lang", "text", fold)
+    marked = rows.join(light(good), "doc_id", "left").select("doc_id", "lang", "text", fold)
     grams = written(counts(marked.filter("fold is not null").select("fold", "text")), "grams")
     models = [fit(grams.filter(F.col("fold") != held).groupBy("gram").agg(F.sum("n").alias("n"))) for held in range(FOLDS)]
     models.append(fit(grams.groupBy("gram").agg(F.sum("n").alias("n"))))

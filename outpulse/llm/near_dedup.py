@@ -24,8 +24,10 @@ from outpulse.llm.common import ROW, as_bytes, light, numbered, written
 from outpulse.llm.rolling import prefix_hashes, stretches
 
 TREES = 20
-#: Prefix lengths that part a region, from sparse to dense ones.
-DEPTHS = (4, 6, 8)
+#: Values of a tree's own signature. Behind them its order goes on with those of the next tree.
+OWN_VALUES = 8
+#: Prefix lengths that part a region, from sparse to dense ones, up to twice ``OWN_VALUES``.
+DEPTHS = (4, 6, 8, 11, 14)
 #: Texts of a region that are compared with each other; a larger one is parted by the next prefix length.
 REGION = 64
 #: In a region that is still larger at full depth, each text of another group is compared with so many that follow it.
@@ -62,7 +64,7 @@ def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 def _sign_batches(words: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _factors(trees * DEPTHS[-1])
+        factors = _factors(trees * OWN_VALUES)
         for batch in batches:
             counts, digests, signatures = [], [], []
             for text in as_bytes(batch.column(2)):
@@ -87,7 +89,8 @@ def _forest_batches(trees: int):
             n = len(batch)
             if not n:
                 continue
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, trees, DEPTHS[-1])
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, trees, OWN_VALUES)
+            values = np.concatenate([values, np.roll(values, -1, axis=1)], axis=2)
             key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (n, trees)).copy()
             prefixes = []
             for depth in range(DEPTHS[-1]):

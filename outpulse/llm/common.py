@@ -20,6 +20,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 _shipped: set[str] = set()
+_own_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,10 +54,12 @@ def numbered(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that all executors reach; a temporary one only where none is set."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="outpulse-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="outpulse-")
+    return _own_folders[application]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

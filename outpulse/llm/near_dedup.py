@@ -5,9 +5,9 @@ prefix of their signatures stand together; regions of the order in which the sho
 A dense region is parted by longer prefixes until it is small. Candidates are confirmed on the full shingle sets, and
 linked texts are joined to groups.
 
-Texts with equal shingle sets are one text with copies from the start. Candidates are confirmed in three rounds: each
-text with the first one of its region, which joins most of what belongs together; then the texts of a region that are
-still in different groups with each other; then the few that stand apart in a dense region with all of it.
+Texts with equal shingle sets are one text with copies from the start. Candidates are confirmed in two rounds: each text
+with the first one of its region, which joins most of what belongs together; then the texts of a region that are still
+in different groups with each other.
 """
 
 from __future__ import annotations
@@ -206,23 +206,6 @@ def _neighbours(regions: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.union(near.select(F.col("node").alias("a"), "f.b")).distinct()
 
 
-def _stragglers(regions: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of the few texts that still stand apart from the largest group of a dense region with all its other texts.
-
-    At most ``REGION`` of them in a region, so the pairs grow as its size; a region with more of them holds several
-    groups and has been parted by longer prefixes.
-    """
-    dense = regions.filter(F.col("n0") > REGION).join(roots, "node", "left")
-    dense = written(dense.select(F.col("p0").alias("region"), "node", F.coalesce("root", "node").alias("root")), "dense-regions")
-    groups = dense.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region")
-    largest = groups.agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("apart"))
-    largest = written(largest.filter((F.col("apart") > 0) & (F.col("apart") <= REGION)), "largest-groups")
-    apart = dense.join(largest, "region").filter("root <> largest")
-    apart = written(apart.select("region", F.col("node").alias("a"), F.col("root").alias("root_a")), "apart")
-    pairs = dense.join(apart, "region").filter("root <> root_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    return pairs.distinct()
-
-
 def grouped(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """A row per row of ``docs(row_no, doc_id, text)``: ``row_no, doc_id, n_shingles, component_id, keeper``.
 
@@ -249,12 +232,7 @@ def grouped(docs: DataFrame, text: str = "text", words: int = 5, percent: int =
     roots = components(links)
     rest = confirmed(_neighbours(regions, roots), texts, words, percent)
     if not rest.isEmpty():
-        links = links.union(rest)
-        roots = components(links)
-    if not regions.filter(F.col("n0") > REGION).isEmpty():
-        rest = confirmed(_stragglers(regions, roots), texts, words, percent)
-        if not rest.isEmpty():
-            roots = components(links.union(rest))
+        roots = components(links.union(rest))
     placed = classes.select("d0", "d1", "node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = placed.groupBy("root").agg(F.min("least").alias("group_least"), F.sum("copies").alias("members")).filter("members > 1")
     of_class = placed.join(written(groups, "groups"), "root").select("d0", "d1", "group_least")

@@ -75,11 +75,11 @@ def discounted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(gram, alpha)`` and ``(context, gamma)`` of an order from its counts, by modified Kneser-Ney discounts."""
     n = F.col("n")
     of_counts = grams.agg(*[F.count_if(n == i).cast("double").alias(f"n{i}") for i in range(1, 5)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     discounts = of_counts.select(
         # Without n-grams of some low count, the discount is its usual size.
         *[
-            F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)), F.lit(0.75)))).alias(f"d{i}")
+            F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.75)))).alias(f"d{i}")
             for i in (1, 2, 3)
         ]
     )

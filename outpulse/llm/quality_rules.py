@@ -91,8 +91,8 @@ def host_verdicts(flags: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     )
     rate = F.col("host_failed") / F.col("host_docs")
     moments = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"))
-    strength = F.col("m") * (1 - F.col("m")) / F.col("v") - 1
-    usable = (F.col("v") > 0) & (strength > 0)
+    strength = F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1
+    usable = strength > 0
     prior = moments.select(
         F.when(usable, F.col("m") * strength).otherwise(1.0).alias("alpha"),
         F.when(usable, (1 - F.col("m")) * strength).otherwise(1.0).alias("beta"),

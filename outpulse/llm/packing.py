@@ -106,6 +106,22 @@ def _cut_batches(ranks: str, pattern: str, capacity: int):
     return run
 
 
+def _arriving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in groups of ``ARRIVING``, the last one smaller."""
+    held, rows = [], 0
+    for batch in batches:
+        while len(batch):
+            part = batch.slice(0, ARRIVING - rows)
+            held.append(part)
+            rows += len(part)
+            batch = batch.slice(len(part))
+            if rows == ARRIVING:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _pack_batches(capacity: int, open_bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -113,8 +129,7 @@ def _pack_batches(capacity: int, open_bins: int):
         # Sequences of different tasks have different numbers.
         base = TaskContext.get().partitionId() << 33
         packer = BestFit(capacity, open_bins)
-        arriving = (batch.slice(at, ARRIVING) for batch in batches for at in range(0, len(batch), ARRIVING))
-        for batch in arriving:
+        for batch in _arriving(batches):
             batch = batch.sort_by([("length", "descending"), ("row_no", "ascending"), ("piece", "ascending")])
             placed = [packer.place(length) for length in batch.column("length").to_pylist()]
             sequence = pa.array([base + number for number, _ in placed], pa.int64())

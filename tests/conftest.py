@@ -46,36 +46,43 @@ def at(text):
 
 
 SOURCES = [
-    # source, name, category, channel, cadence, last checked, notes, active
-    ("league", "City League", "active", "website", "weekly", "2026-07-01", "Pickup and league play", True),
-    ("boats", "Boathouse", "outdoors", "website", "seasonal", "2026-06-15", "Walk-up kayaks", True),
-    ("shifts", "Shift Board", "volunteer", "website", "daily", "2026-07-10", "Same-week shifts", True),
-    ("tongues", "Language Tables", "social", "meetup", "weekly", "2026-07-05", "Weekly; beginner friendly", True),
-    ("mic", "Open Mic", "culture", "instagram", "weekly", "2026-07-12", "Stories only", True),
-    ("studio", "Closed Studio", "active", "website", "weekly", "2026-05-01", "Closed", False),
+    # A source per freshness rule: source, name, category, channel, cadence, last checked, notes, active
+    ("kites", "Kite Makers", "learn", "api", "daily", "2026-07-18", "Bring string", True),  # fresh for the last day
+    ("chorus", "River Chorus", "culture", "meetup", "weekly", "2026-07-04", "Singing for every beginner", True),  # stale
+    ("dunes", "Dune Walks", "outdoors", "instagram", "seasonal", "2026-03-02", None, True),  # fresh by its long cadence
+    ("supper", "Supper Club", "food_drink", "website", "weekly", "2026-05-25", "Shared tables", True),  # stale for the last day
+    ("ember", "Ember Theatre", "culture", "website", "weekly", "2026-05-24", None, True),  # abandoned since today
+    ("lapsed", "Lapsed Gym", "active", "website", "daily", "2026-07-20", None, False),  # fresh, but not active
 ]
 
 EVENTS = [
-    # event, source, title, category, start, end, cost, zip, lat, lon, tags, has url
-    ("e01", "league", "Volleyball", "active", "2026-07-22T18:30", "2026-07-22T20:30", 10, "10007", 40.7196, -74.0129, "energetic|social", 1),
-    ("e02", "boats", "Kayaking", "outdoors", "2026-07-20T09:00", "2026-07-20T12:00", 0, "10036", 40.7686, -73.9918, "chill|energetic", 1),
-    ("e03", "shifts", "Pantry shift", "volunteer", "2026-07-21T13:00", "2026-07-21T16:00", 0, "10024", 40.7870, -73.9754, "chill|social", 1),
-    ("e04", "tongues", "Language exchange", "social", "2026-07-23T19:00", "2026-07-23T21:00", 5, "10012", 40.7286, -73.9987, "social|chill", 1),
-    ("e05", "mic", "Tuesday open mic", "culture", "2026-07-21T20:00", "2026-07-21T22:30", 0, "10003", 40.7265, -73.9918, "creative|social", 1),
-    ("e06", "league", "Beginner kickball", "active", "2026-07-25T10:00", "2026-07-25T12:00", 10, "11222", 40.7220, -73.9505, "energetic|social", 1),
-    ("e07", "boats", "Kayaking weekend", "outdoors", "2026-07-26T09:00", "2026-07-26T12:00", 0, "10036", 40.7686, -73.9918, "chill|energetic", 1),
-    ("e08", "shifts", "Garden shift", "volunteer", "2026-07-24T17:00", "2026-07-24T19:00", 0, "11237", 40.6944, -73.9213, "chill|solo_focus", 1),
-    ("e09", "mic", "Last week's mic", "culture", "2026-07-13T20:00", "2026-07-13T22:30", 0, "10003", 40.7265, -73.9918, "creative|social", 1),
-    ("e10", "studio", "Sunday yoga", "active", "2026-07-27T09:00", "2026-07-27T10:00", 15, "10001", 40.7506, -73.9972, "chill|solo_focus", 1),
-    ("e11", "mic", "Mystery price mic", "culture", "2026-07-28T20:00", "2026-07-28T22:00", None, "10003", 40.7265, -73.9918, "creative|social", 1),
-    ("e12", "league", "Sunday soccer", "active", "2026-07-29T10:00", "2026-07-29T12:00", 10, "10007", 40.7196, -74.0129, "energetic|social", 0),
+    # An event per branch: event, source, title, category, start, end, cost, zip, lat, lon, tags, has url
+    ("v01", "kites", "Kite workshop", "learn", "2026-07-24T15:00", "2026-07-24T17:00", 12, "10025", 40.801, -73.972, "creative|chill", 1),
+    ("v02", "chorus", "Evening chorus", "culture", "2026-07-21T19:30", "2026-07-21T21:00", 0, "11215", 40.66, -73.969, "social|creative", 1),
+    ("v03", "dunes", "Dawn walk", "outdoors", "2026-07-22T06:00", "2026-07-22T08:30", 0, "11999", 40.58, -73.83, "chill|solo_focus", 1),
+    ("v04", "supper", "Long table for beginners", "food_drink", "2026-07-25T20:00", "2026-07-25T23:00", 35, "11377", 40.746, -73.9, "social", 1),
+    ("v05", "dunes", "Ends right now", "outdoors", "2026-07-20T10:30", "2026-07-20T12:00", 4, "10463", 40.889, -73.899, "energetic", 1),
+    ("v06", "kites", "Price on request", "learn", "2026-07-26T11:00", "2026-07-26T12:00", None, "10025", 40.801, -73.972, "chill", 1),
+    ("v07", "chorus", "Over a minute ago", "culture", "2026-07-20T09:15", "2026-07-20T11:59", 6, "11215", 40.66, -73.969, "social", 1),
+    ("v08", "supper", "Brunch without a link", "food_drink", "2026-07-26T10:00", "2026-07-26T12:00", 8, "11377", 40.746, -73.9, "social", 0),
+    ("v09", "lapsed", "Class of a closed gym", "active", "2026-07-23T07:00", "2026-07-23T08:00", 18, "10463", 40.88, -73.906, "energetic", 1),
+    ("v10", "ember", "Play nobody verified", "culture", "2026-07-21T22:00", "2026-07-21T23:30", 20, "10025", 40.799, -73.968, "creative", 1),
+]
+
+BROKEN = [
+    # Events that only a gate rule keeps out; such rows fail the quality report as well.
+    ("w01", "kites", "No start", "learn", None, "2026-07-24T17:00", 1, "10025", 40.8, -73.97, None, 1),
+    ("w02", "kites", "No category", None, "2026-07-24T15:00", None, 1, "10025", 40.8, -73.97, None, 1),
+    ("w03", "kites", None, "learn", "2026-07-24T15:00", None, 1, "10025", 40.8, -73.97, None, 1),
+    ("w04", "kites", "Pays its guests", "learn", "2026-07-24T15:00", None, -3, "10025", 40.8, -73.97, None, 1),
+    ("w05", "nobody", "Of an unlisted source", "learn", "2026-07-24T15:00", None, 1, "10025", 40.8, -73.97, None, 1),
 ]
 
 ZIPS = [
-    ("10001", 40.7506, -73.9972, "Manhattan"),
-    ("10003", 40.7318, -73.9891, "Manhattan"),
-    ("10007", 40.7137, -74.0086, "Manhattan"),
-    ("11222", 40.7220, -73.9505, "Brooklyn"),
+    ("10025", 40.799, -73.968, "Manhattan"),
+    ("10463", 40.88, -73.906, "Bronx"),
+    ("11215", 40.665, -73.975, "Brooklyn"),
+    ("11377", 40.745, -73.905, "Queens"),
 ]
 
 
@@ -85,16 +92,20 @@ def sources(spark):
     return spark.createDataFrame(rows, schemas.SOURCES)
 
 
-@pytest.fixture(scope="session")
-def curated(spark):
+def events_frame(spark, events):
     rows = [
         (e, s, t, c, at(a), at(b), None if cost is None else Decimal(cost), "Place", True,
          f"https://x.example.org/{e}" if url else None, day("2026-07-01"), z, lat, lon, tags, None)
-        for e, s, t, c, a, b, cost, z, lat, lon, tags, url in EVENTS
+        for e, s, t, c, a, b, cost, z, lat, lon, tags, url in events
     ]
     return spark.createDataFrame(rows, schemas.EVENTS)
 
 
+@pytest.fixture(scope="session")
+def curated(spark):
+    return events_frame(spark, EVENTS)
+
+
 @pytest.fixture(scope="session")
 def zips(spark):
     return spark.createDataFrame(ZIPS, schemas.ZIP_CENTROIDS)

@@ -85,7 +85,7 @@ def test_a_whole_refresh_is_clean_and_repeatable(spark, tmp_path, feed_frame, so
     assert built.feed.count() == 3 and built.observations.count() == 4
     assert built.history.count() == 4 and built.history.filter("valid_to is null").count() == 3
     found = {r["event_id"] for r in built.candidates.collect()}
-    assert {"parks-2", "parks-3", "e01"} <= found and "parks-1" not in found
+    assert {"parks-2", "parks-3", "v01"} <= found and "parks-1" not in found
     before = [rows_of(df) for df in (built.feed, built.history, built.observations, built.candidates)]
     again, _ = refresh.refresh(spark, root, 1, days[1], inputs, clock)
     assert [rows_of(df) for df in (again.feed, again.history, again.observations, again.candidates)] == before

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import at, day, feed_row
+from conftest import EVENTS, at, day, feed_row
 from pyspark.sql import functions as F
 
 from outpulse.functions.text import category_label, feed_category, is_cancelled_title, plain_number, tag_set
@@ -84,5 +84,5 @@ def test_text_helpers(spark):
 
 def test_union_has_the_contract(curated, feed_frame):
     events = staging.all_events(curated, feed_frame(feed_row("1", "2026-07-20 10:00:00")))
-    assert events.columns == staging.EVENT_COLUMNS and events.count() == 13
+    assert events.columns == staging.EVENT_COLUMNS and events.count() == len(EVENTS) + 1
     assert isinstance(events.first()["start_at"], dt.datetime)

@@ -1,9 +1,17 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
+"""Quality by the perplexity of an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model reads symbols: letters, blanks, digits, kinds of punctuation and of bytes beyond ASCII. Its n-grams are counted
-over all trusted documents, and discounted probabilities and context weights come from joins of the count tables by
-context. As there are ``SYMBOLS ** ORDER`` n-grams at most, whatever the corpus, the finished model is a table of bounded
-size. Documents are kept up to a quantile of the perplexities of trusted documents in their language.
+N-grams of words are counted over all trusted documents, and discounted probabilities and context weights come from joins
+of the count tables by context. The model is a table that grows with the corpus and is never gathered in one place.
+
+The log probability of a document is a sum over its n-grams. With ``p1``, ``p2``, ``p3`` the interpolated probabilities and
+``g`` the weight of a context, each n-gram of the model adds
+
+    word w        log p1(w) - log p1(unknown) + log g(w)
+    pair vw       log p2(w|v) - log p1(w) - log g(v) + log g(vw)
+    triple uvw    log p3(w|uv) - log p2(w|v) - log g(uv)
+
+and one that the model lacks adds nothing: where the triple is unknown what remains is ``g(uv) p2(w|v)``, and so on down to
+the probability of an unknown word. A document is therefore scored by one join of its n-grams with this table.
 """
 
 from __future__ import annotations
@@ -15,147 +23,272 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outpulse.llm.common import as_bytes, light, written
+from outpulse.llm.common import ROW, as_bytes, light, numbered, written
+from outpulse.llm.rolling import mixed, prefix_hashes, stretches
 
-SYMBOLS = 40
-ORDER = 4
+#: Trusted documents are in two folds. Model 0 and 1 lack the fold of their number, model 2 has both.
 FOLDS = 2
+MODELS = range(FOLDS + 1)
 #: Trusted documents of a language that stay below the threshold.
 QUANTILE = 0.99
+#: The most frequent n-grams, at most so many, are scored where documents are read; all others meet the table by a join.
+FREQUENT = 500_000
+#: 64-bit words of the filter that leaves out n-grams which the model lacks. The join removes what passes by chance.
+FILTER_WORDS = 1 << 21
+#: Tokens that a task counts together.
+COUNTED_TOKENS = 1_000_000
+#: The least discount, so that an unknown word has a probability.
+LEAST_DISCOUNT = 0.05
 
-_BLANK = 0
-
+_BEGIN, _END = np.array([0x51ED270B0A1FD3C7, 0x2545F4914F6CDD1D], np.uint64)
+_PAIR, _TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_GRAM_KEYS = ["triple", "before", "pair", "first", "word"]
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
-def _symbol_table() -> np.ndarray:
-    """The symbol of each byte."""
-    table = np.full(256, 38, np.uint8)  # controls
-    table[[0x20, 0x09]] = _BLANK
-    table[0x0A] = 1
-    table[ord("0") : ord("9") + 1] = 2
-    table[ord("A") : ord("Z") + 1] = 3
-    table[ord("a") : ord("z") + 1] = np.arange(4, 30)
-    for number, marks in enumerate((".", ",", "!?", "'\"`", "-_:;", "#*$%&|<>~^", "()[]{}/\\@=+"), 30):
-        for mark in marks:
-            table[ord(mark)] = number
-    table[0x80:0xC0] = 37
-    table[0xC0:] = 39
-    return table
 
+def tokens(text: bytes) -> np.ndarray:
+    """Hashes of the words. A-Z count as a-z; a character of scripts without blanks (U+3000 to U+9FFF) is a word."""
+    if not text:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(text.lower(), np.uint8)
+    space = _SPACE[data]
+    alone = (data >= 0xE3) & (data <= 0xE9)
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = space[1:] | space[:-1] | alone[1:]
+    edge[3:-1] |= alone[: len(data) - 3] if len(data) > 3 else False
+    at = np.flatnonzero(edge)
+    word = ~space[at[:-1]]
+    return stretches(prefix_hashes(data), at[:-1][word], at[1:][word])
 
-_TABLE = _symbol_table()
 
+def grams(words: np.ndarray) -> dict[str, np.ndarray]:
+    """Keys of the triple that ends at each word and at the end of the text, of its two pairs and of its last two words.
 
-def codes_of(text: bytes) -> np.ndarray:
-    """The n-gram that ends at each byte, as a number; the text begins behind blanks."""
-    symbols = np.concatenate([np.full(ORDER - 1, _BLANK, np.uint8), _TABLE[np.frombuffer(text, np.uint8)]]).astype(np.int64)
-    n = len(symbols) - ORDER + 1
-    codes = np.zeros(n, np.int64)
-    for i in range(ORDER):
-        codes = codes * SYMBOLS + symbols[i : i + n]
-    return codes
+    Keys are 64-bit hashes in one space; that two n-grams of a corpus share one is possible, and as rare as 1 in 10**7 for
+    10**12 n-grams.
+    """
+    word = np.append(words, _END)
+    first = np.concatenate([[_BEGIN], words])
+    pair = mixed(first * _PAIR + word)
+    before = np.concatenate([mixed(np.array([_BEGIN]) * _PAIR + _BEGIN), pair[:-1]])
+    return {"triple": mixed(before * _TRIPLE + word), "before": before, "pair": pair, "first": first, "word": word}
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((FOLDS, SYMBOLS**ORDER), np.int64)
+    def counted(texts: list[dict[str, np.ndarray]], fold: int) -> pa.RecordBatch:
+        together = {k: np.concatenate([t[k] for t in texts]) for k in _GRAM_KEYS}
+        _, at, n = np.unique(together["triple"], return_index=True, return_counts=True)
+        keys = [pa.array(together[k][at].view(np.int64)) for k in _GRAM_KEYS]
+        return pa.record_batch([*keys, pa.array(np.full(len(at), fold, np.int32)), pa.array(n)], [*_GRAM_KEYS, "fold", "n"])
+
     for batch in batches:
+        held: list[list[dict[str, np.ndarray]]] = [[] for _ in range(FOLDS)]
+        sizes = [0] * FOLDS
         for fold, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-            np.add.at(total[fold], codes_of(text), 1)
-    for fold in range(FOLDS):
-        found = np.flatnonzero(total[fold])
-        yield pa.record_batch([pa.array(np.full(len(found), fold)), pa.array(found), pa.array(total[fold][found])], ["fold", "gram", "n"])
+            words = tokens(text)
+            if not len(words):
+                continue
+            held[fold].append(grams(words))
+            sizes[fold] += len(words)
+            if sizes[fold] >= COUNTED_TOKENS:
+                yield counted(held[fold], fold)
+                held[fold], sizes[fold] = [], 0
+        for fold in range(FOLDS):
+            if held[fold]:
+                yield counted(held[fold], fold)
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """``(fold, gram, n)`` over all of ``texts(fold, text)``; a task sums up its own before they are shuffled."""
-    rows = texts.select(F.col("fold").cast("int"), "text").mapInArrow(_count_batches, "fold bigint, gram bigint, n bigint")
-    return rows.groupBy("fold", "gram").agg(F.sum("n").alias("n"))
+    """The triples of all of ``texts(fold, text)`` with their count ``n0, n1, n2`` in each model."""
+    ddl = ", ".join(f"{k} bigint" for k in _GRAM_KEYS) + ", fold int, n bigint"
+    rows = texts.select(F.col("fold").cast("int"), "text").mapInArrow(_count_batches, ddl)
+    in_model = [F.sum(F.when(F.col("fold") != m, F.col("n")).otherwise(0)).alias(f"n{m}") for m in MODELS]
+    return rows.groupBy(*_GRAM_KEYS).agg(*in_model)
 
 
-def discounted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(gram, alpha)`` and ``(context, gamma)`` of an order from its counts, by modified Kneser-Ney discounts."""
-    n = F.col("n")
-    of_counts = grams.agg(*[F.count_if(n == i).cast("double").alias(f"n{i}") for i in range(1, 5)])
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    discounts = of_counts.select(
+def discounts(table: DataFrame) -> list[list[float]]:
+    """For each model, the discounts of counts 1, 2 and of 3 or more, from the numbers of n-grams with counts 1 to 4."""
+    row = table.agg(*[F.count_if(F.col(f"n{m}") == i).alias(f"m{m}_{i}") for m in MODELS for i in range(1, 5)]).first()
+    found = []
+    for m in MODELS:
+        n = [0, *(row[f"m{m}_{i}"] for i in range(1, 5))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else None
         # Without n-grams of some low count, the discount is its usual size.
-        *[
-            F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.75)))).alias(f"d{i}")
-            for i in (1, 2, 3)
-        ]
+        usual = [i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else 0.75 for i in (1, 2, 3)]
+        found.append([min(float(i), max(LEAST_DISCOUNT, d)) for i, d in enumerate(usual, 1)])
+    return found
+
+
+def _discount(m: int, d: list[list[float]]):
+    n = F.col(f"n{m}")
+    return F.when(n == 0, 0.0).when(n == 1, d[m][0]).when(n == 2, d[m][1]).otherwise(d[m][2])
+
+
+def _contexts(table: DataFrame, by: str, d: list[list[float]], occurrences) -> DataFrame:
+    """For each context its total ``t``, weight ``g`` in each model (1 where the model lacks it) and occurrences."""
+    sums = [s for m in MODELS for s in (F.sum(f"n{m}").alias(f"t{m}"), F.sum(_discount(m, d)).alias(f"taken{m}"))]
+    totals = table.groupBy(by).agg(*sums, F.sum(occurrences).alias("occurrences"))
+    weight = [F.when(F.col(f"t{m}") > 0, F.col(f"taken{m}") / F.col(f"t{m}")).otherwise(1.0).alias(f"g{m}") for m in MODELS]
+    return totals.select(by, *[f"t{m}" for m in MODELS], *weight, "occurrences")
+
+
+def _interpolated(m: int, d: list[list[float]], lower: str):
+    own = F.when(F.col(f"n{m}") > 0, (F.col(f"n{m}") - _discount(m, d)) / F.col(f"t{m}")).otherwise(0.0)
+    return own + F.col(f"g{m}") * F.col(f"{lower}{m}")
+
+
+def fit(texts: DataFrame) -> tuple[DataFrame, list[float]]:
+    """``(key, n, w0, w1, w2)``, what each n-gram adds to a log2 probability in each model, and the log2 probability of an
+    unknown word in each one."""
+    triples = written(counts(texts), "triples")
+    d3 = discounts(triples)
+    seen = [F.count_if(F.col(f"n{m}") > 0).alias(f"n{m}") for m in MODELS]
+    # Lower orders count the different words that an n-gram follows.
+    pairs = triples.groupBy("pair").agg(F.min("first").alias("first"), F.min("word").alias("word"), *seen, F.sum("n2").alias("occurrences"))
+    pairs = written(pairs, "pairs")
+    d2 = discounts(pairs)
+    words = written(pairs.groupBy("word").agg(*seen, F.sum("occurrences").alias("occurrences")), "words")
+    d1 = discounts(words)
+    sums = [s for m in MODELS for s in (F.sum(f"n{m}").alias(f"t{m}"), F.sum(_discount(m, d1)).alias(f"taken{m}"), F.count_if(F.col(f"n{m}") > 0).alias(f"v{m}"))]
+    whole = words.agg(*sums).first()
+    unknown = [(whole[f"taken{m}"] / whole[f"t{m}"] if whole[f"t{m}"] else 1.0) / (whole[f"v{m}"] + 1) for m in MODELS]
+    p1 = [F.when(F.col(f"n{m}") > 0, (F.col(f"n{m}") - _discount(m, d1)) / float(whole[f"t{m}"] or 1)).otherwise(0.0) + unknown[m] for m in MODELS]
+    known = words.select("word", *[p.alias(f"p{m}") for m, p in enumerate(p1)])
+    after_word = written(_contexts(pairs, "first", d2, F.col("occurrences")), "after-words")
+    after_pair = written(_contexts(triples, "before", d3, F.col("n2")), "after-pairs")
+    lower = pairs.drop("occurrences").join(known, "word").join(after_word.drop("occurrences"), "first")
+    q = [_interpolated(m, d2, "p").alias(f"q{m}") for m in MODELS]
+    of_pair = written(lower.select("pair", *q, *[f"p{m}" for m in MODELS], *[f"g{m}" for m in MODELS]), "pair-probabilities")
+
+    def adds(table: DataFrame, key: str, n, values: list) -> DataFrame:
+        return table.select(F.col(key).alias("key"), n.cast("long").alias("n"), *[v.cast("double").alias(f"w{m}") for m, v in enumerate(values)])
+
+    def context(table: DataFrame, key: str) -> DataFrame:
+        return adds(table, key, F.col("occurrences"), [F.log2(f"g{m}") for m in MODELS])
+
+    low = (
+        adds(known, "word", F.lit(0), [F.log2(F.col(f"p{m}") / unknown[m]) for m in MODELS])
+        .union(context(after_word, "first"))
+        .union(adds(of_pair, "pair", F.lit(0), [F.log2(F.col(f"q{m}") / (F.col(f"p{m}") * F.col(f"g{m}"))) for m in MODELS]))
+        .union(context(after_pair, "before"))
     )
-    # One row, an aggregate without keys.
-    held = grams.join(F.broadcast(discounts))
-    discount = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-    held = held.select("gram", (F.col("gram") / SYMBOLS).cast("long").alias("context"), "n", discount.alias("d"))
-    contexts = held.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("taken"))
-    alpha = held.join(contexts, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha"))
-    return alpha, contexts.select("context", (F.col("taken") / F.col("total")).alias("gamma"))
-
-
-def fit(grams: DataFrame) -> np.ndarray:
-    """Log2 probability of each n-gram's last symbol after the others, from ``grams(gram, n)``. Without n-grams all
-    symbols are alike."""
-    levels = []
-    for order in range(ORDER, 0, -1):
-        levels.append((order, *discounted(grams)))
-        # Lower orders count the different symbols that an n-gram follows.
-        grams = written(grams.groupBy(F.pmod("gram", F.lit(SYMBOLS ** (order - 1))).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    lower = np.full(1, 1 / SYMBOLS)
-    for order, alpha, gamma in reversed(levels):
-        size = SYMBOLS**order
-        seen, weight = np.zeros(size), np.ones(size // SYMBOLS)
-        a, g = alpha.toArrow(), gamma.toArrow()  # SYMBOLS ** order rows at most
-        seen[a.column("gram").to_numpy()] = a.column("alpha").to_numpy()
-        weight[g.column("context").to_numpy()] = g.column("gamma").to_numpy()
-        number = np.arange(size)
-        lower = seen + weight[number // SYMBOLS] * lower[number % (size // SYMBOLS)]
-    return np.log2(lower).astype(np.float32)
-
-
-def perplexities(docs: DataFrame, models: list[np.ndarray]) -> DataFrame:
-    """``docs(fold, text, ...)`` with ``perplexity`` per symbol of the whole text, null without one, instead of the text.
-
-    A fold is scored by the model that has not seen it, ``models[fold]``; rows without a fold by the last one.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    low = low.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(f"w{m}").alias(f"w{m}") for m in MODELS])
+    high = (
+        triples.select("triple", "before", "pair", *[f"n{m}" for m in MODELS])
+        .join(of_pair.select("pair", *[f"q{m}" for m in MODELS]), "pair")
+        .join(after_pair.drop("occurrences"), "before")
+    )
+    r = [F.log2(_interpolated(m, d3, "q") / (F.col(f"q{m}") * F.col(f"g{m}"))) for m in MODELS]
+    return written(low.union(adds(high, "triple", F.col("n2"), r)), "model"), [float(np.log2(p)) for p in unknown]
+
 
-    def score(texts: pa.Array, folds: pa.Array) -> pa.Array:
-        values = []
-        for text, fold in zip(as_bytes(texts), folds.to_pylist()):
-            model = sent.value[-1 if fold is None else fold]
-            values.append(float(2 ** -np.mean(model[codes_of(text)], dtype=np.float64)) if text else None)
-        return pa.array(values, pa.float64())
+def _frequent(model: DataFrame) -> DataFrame:
+    """The most frequent n-grams, ``FREQUENT`` at most, by a histogram of the sizes of their counts."""
+    size = F.floor(F.log2(F.greatest("n", F.lit(1))) * 16).cast("int")
+    numbers = sorted(model.groupBy(size.alias("size")).count().collect(), reverse=True)  # a row per sixteenth of a doubling
+    least, held = numbers[0][0] + 1 if numbers else 0, 0
+    for of_size, n in numbers:
+        held += n
+        if held > FREQUENT:
+            break
+        least = of_size
+    return model.filter(size >= least)
 
-    score.__annotations__ = {"texts": pa.Array, "folds": pa.Array, "return": pa.Array}
-    udf = F.arrow_udf(score, "double").asNondeterministic()
-    return docs.withColumn("perplexity", udf(F.col("text").cast("string"), "fold")).drop("text")
+
+def _score_batches(sent, unknown: list[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, bits = sent.value
+        for batch in batches:
+            rows, which = batch.column(0).to_numpy(), batch.column("model").to_numpy()
+            out_row, out_model, out_key, out_n = [], [], [], []
+            part, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            for i, text in enumerate(as_bytes(batch.column("text"))):
+                words = tokens(text)
+                if not len(words):
+                    continue
+                found = grams(words)
+                # Every word and pair is the last of one triple and, but for the ends, the beginning of the next.
+                every = np.concatenate([found["triple"], found["pair"], found["before"][:1], found["word"], found["first"][:1]])
+                key, n = np.unique(every.view(np.int64), return_counts=True)
+                size[i] = len(words) + 1
+                part[i] = size[i] * unknown[which[i]]
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    held = keys[at] == key
+                    part[i] += float(n[held] @ values[at[held], which[i]])
+                    key, n = key[~held], n[~held]
+                place = key.view(np.uint64)
+                maybe = (bits[(place >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                key, n = key[maybe], n[maybe]
+                out_row.append(np.full(len(key), rows[i]))
+                out_model.append(np.full(len(key), which[i], np.int32))
+                out_key.append(key)
+                out_n.append(n)
+            # A row of its own for each text, under a key that tells it from n-grams by its count of 0.
+            own = mixed(rows.astype(np.uint64)).view(np.int64)
+            rest = sum(map(len, out_row))
+            yield pa.record_batch(
+                [
+                    pa.array(np.concatenate([rows, *out_row])),
+                    pa.array(np.concatenate([which.astype(np.int32), *out_model])),
+                    pa.array(np.concatenate([own, *out_key])),
+                    pa.array(np.concatenate([np.zeros(len(batch), np.int64), *out_n]).astype(np.int32)),
+                    pa.concat_arrays([pa.array(part), pa.nulls(rest, pa.float64())]),
+                    pa.concat_arrays([pa.array(size), pa.nulls(rest, pa.int64())]),
+                ],
+                [ROW, "model", "key", "n", "part", "size"],
+            )
+
+    return run
+
+
+def perplexities(docs: DataFrame, model: DataFrame, unknown: list[float]) -> DataFrame:
+    """``row_no, perplexity`` per word of the whole text of ``docs(row_no, fold, text)``, null without a word.
+
+    A fold is scored by the model that has not seen it, all other rows by the model of both.
+    """
+    spark = docs.sparkSession
+    top = _frequent(model).drop("n").toArrow()  # FREQUENT rows at most
+    keys = top.column("key").to_numpy()
+    order = np.argsort(keys)
+    values = np.stack([top.column(f"w{m}").to_numpy() for m in MODELS], axis=1)[order]
+    place = F.pmod(F.shiftrightunsigned("key", 6), F.lit(FILTER_WORDS)).cast("int").alias("place")
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    marks = model.groupBy(place).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_WORDS rows at most
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[marks.column("place").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast((keys[order], values, bits))
+    read = docs.select(ROW, F.coalesce("fold", F.lit(FOLDS)).alias("model"), F.col("text").cast("string").alias("text"))
+    found = read.mapInArrow(_score_batches(sent, unknown), f"{ROW} bigint, model int, key bigint, n int, part double, size bigint")
+    weight = F.when(F.col("model") == 0, F.col("w0")).when(F.col("model") == 1, F.col("w1")).otherwise(F.col("w2"))
+    added = F.coalesce("part", F.lit(0.0)) + F.coalesce(F.col("n") * weight, F.lit(0.0))
+    sums = found.join(model.drop("n"), "key", "left").groupBy(ROW).agg(F.sum(added).alias("log"), F.max("size").alias("size"))
+    return sums.select(ROW, F.when(F.col("size") > 0, F.pow(F.lit(2.0), -F.col("log") / F.col("size"))).alias("perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``doc_id, lang, perplexity, threshold, kept`` of every row of ``docs(doc_id, text, lang)``.
+    """``doc_id, lang, perplexity, threshold, kept`` of every row of ``docs(doc_id, text, lang)``, a scan of files.
 
     Trusted documents are in two folds, and their own perplexities, from which the thresholds come, are those under the
     other fold's model. All other documents are scored by the model of both.
 
     Trusted are the documents that ``labels(doc_id, quality, toxic)`` calls good and not toxic in every row about them;
     all of them are counted. A language without trusted documents, and a missing one, has the threshold of all
-    languages; without any, nothing is rejected for its perplexity. A null or empty text has none and is not kept. Rows that
-    repeat are judged alike; other columns are not read.
+    languages; without any, nothing is rejected for its perplexity. A text without a word, a null one too, has none and is
+    not kept. Rows that repeat are judged alike; other columns are not read.
     """
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("trusted"))
     good = written(good.filter("trusted"), "trusted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"))
     fold = F.when(F.col("trusted"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")).alias("fold")
-    marked = rows.join(light(good), "doc_id", "left").select("doc_id", "lang", "text", fold)
-    grams = written(counts(marked.filter("fold is not null").select("fold", "text")), "grams")
-    models = [fit(grams.filter(F.col("fold") != held).groupBy("gram").agg(F.sum("n").alias("n"))) for held in range(FOLDS)]
-    models.append(fit(grams.groupBy("gram").agg(F.sum("n").alias("n"))))
-    scored = perplexities(marked, models).select("doc_id", "lang", "fold", "perplexity")
+    marked = rows.join(light(good), "doc_id", "left").select(ROW, "doc_id", "lang", "text", fold)
+    model, unknown = fit(marked.filter("fold is not null").select("fold", "text"))
+    scored = marked.drop("text").join(perplexities(marked, model, unknown), ROW)
     scored = written(scored, "perplexities")
     trusted = scored.filter("fold is not null and perplexity is not null")
     per_language = trusted.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
     overall = trusted.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("all"))
-    judged = scored.join(per_language.filter("lang is not null"), "lang", "left").join(F.broadcast(overall))
+    judged = scored.join(light(written(per_language.filter("lang is not null"), "thresholds")), "lang", "left").join(F.broadcast(overall))
     threshold = F.coalesce("own", "all")
     kept = F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))
     return judged.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), kept.alias("kept"))

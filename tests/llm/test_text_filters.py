@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outpulse.llm import decontaminate, language_id, perplexity, quality_rules
+from outpulse.llm.common import numbered
 
 DOCS = "doc_id bigint, text string, source string, n_words string, kept int"
 
@@ -144,19 +145,66 @@ def test_languages_are_learned(as_table):
     assert sorted(labels) == [0, 1, 2, 4, 5, 6]
 
 
-def test_model_is_a_distribution(as_table):
-    texts = [(i % 2, "the cat sat on the mat, the end." * (i + 1)) for i in range(6)]
-    grams = perplexity.counts(as_table(texts, "fold int, text string"))
-    model = perplexity.fit(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    sums = np.exp2(model.astype(np.float64)).reshape(-1, perplexity.SYMBOLS).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
-
-
-def test_counts_are_those_of_all_texts(as_table):
-    texts = [(0, "abab"), (1, "b\nA"), (0, None), (0, "")]
-    got = {(r.fold, r.gram): r.n for r in perplexity.counts(as_table(texts, "fold int, text string")).collect()}
-    want = collections.Counter((f, int(c)) for f, t in texts for c in perplexity.codes_of((t or "").encode()))
-    assert got == dict(want)
+def plain_model(texts):
+    """Probability of a word after two others, by the definition of interpolated modified Kneser-Ney smoothing."""
+    triples = collections.Counter()
+    for text in texts:
+        words = ["<s>", "<s>", *text.lower().split(), "</s>"]
+        triples.update(zip(words, words[1:], words[2:]))
+    pairs = collections.Counter(t[1:] for t in triples)
+    levels = [(collections.Counter(p[1:] for p in pairs)), pairs, triples]
+    off = []
+    for level in levels:
+        n = [sum(c == i for c in level.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else None
+        usual = [i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else 0.75 for i in (1, 2, 3)]
+        off.append([min(i, max(perplexity.LEAST_DISCOUNT, d)) for i, d in enumerate(usual, 1)])
+
+    def probability(gram):
+        if not gram:
+            return 1 / (len(levels[0]) + 1)
+        level, d = levels[len(gram) - 1], off[len(gram) - 1]
+        after = [c for g, c in level.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return probability(gram[1:])
+        taken = sum(d[min(c, 3) - 1] for c in after)
+        own = level[gram] - d[min(level[gram], 3) - 1] if gram in level else 0
+        return (own + taken * probability(gram[1:])) / sum(after)
+
+    return probability, [w for (w,) in levels[0]]
+
+
+@pytest.mark.parametrize("frequent", [perplexity.FREQUENT, 0, 25])
+def test_perplexity_equals_the_definition(as_table, monkeypatch, frequent):
+    monkeypatch.setattr(perplexity, "FREQUENT", frequent)
+    draw = random.Random(8)
+    prose = lambda n: " ".join(draw.choice("the cat sat on a mat and The dog ran far away".split()) for _ in range(n))
+    texts = [(i % 2, prose(draw.randint(1, 25))) for i in range(24)]
+    other = [(None, prose(12) + " unheard words here"), (None, "x"), (None, ""), (None, None), (None, " \n"), (None, prose(400))]
+    docs = numbered(as_table(texts + other, "fold int, text string"))
+    model, unknown = perplexity.fit(docs.filter("fold is not null").select("fold", "text"))
+    got = {r.row_no: r.perplexity for r in perplexity.perplexities(docs, model, unknown).collect()}
+    plain = [plain_model([t for f, t in texts if f != held])[0] for held in (0, 1, 2)]
+    for row in docs.collect():
+        words = ["<s>", "<s>", *(row.text or "").lower().split(), "</s>"]
+        if len(words) == 3:
+            assert got[row.row_no] is None
+            continue
+        probability = plain[2 if row.fold is None else row.fold]
+        logs = [np.log2(probability(tuple(words[i - 2 : i + 1]))) for i in range(2, len(words))]
+        assert got[row.row_no] == pytest.approx(2 ** -np.mean(logs), rel=1e-9)
+
+
+def test_plain_model_is_a_distribution():
+    probability, words = plain_model(["a b a c", "a b b", "c"])
+    for before in (("a", "b"), ("<s>", "<s>"), ("z", "a"), ("z", "z")):
+        assert sum(probability((*before, w)) for w in [*words, "unknown"]) == pytest.approx(1)
+
+
+def test_words_of_scripts_without_blanks():
+    assert len(perplexity.tokens("ab 日本語x y".encode())) == 6
+    assert len(perplexity.tokens("日".encode())) == 1 and len(perplexity.tokens(b" ")) == 0
+    assert (perplexity.tokens(b"The cat") == perplexity.tokens(b"the\n CAT ")).all()
 
 
 def test_junk_is_not_kept(as_table):

@@ -5,9 +5,10 @@ prefix of their signatures stand together; regions of the order in which the sho
 A dense region is parted by longer prefixes until it is small. Candidates are confirmed on the full shingle sets, and
 linked texts are joined to groups.
 
-Texts with equal shingle sets are one text with copies from the start. Candidates are confirmed in two rounds: each text
-with the first one of its region, which joins most of what belongs together; then the texts of a region that are still
-in different groups with each other.
+Texts with equal shingle sets are one text with copies from the start. Candidates are confirmed in three rounds: each text
+with the first one of its region, which joins most of what belongs together; then the texts of a small region that are
+still in different groups with each other; at last, in each dense region, the texts outside its largest group with all of
+the region, in blocks. The last round makes up for links that longer prefixes part.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outpulse.llm.common import ROW, as_bytes, light, numbered, written
@@ -30,8 +31,8 @@ OWN_VALUES = 8
 DEPTHS = (4, 6, 8, 11, 14)
 #: Texts of a region that are compared with each other; a larger one is parted by the next prefix length.
 REGION = 64
-#: In a region that is still larger at full depth, each text of another group is compared with so many that follow it.
-NEIGHBOURS = 16
+#: Texts of each side that are compared in one task, on average, when a dense region is compared in blocks.
+BLOCK = 128
 
 _SIGNED_DDL = f"{ROW} bigint, doc_id bigint, n_shingles bigint, d0 bigint, d1 bigint, signature binary"
 
@@ -187,23 +188,67 @@ def _neighbours(regions: DataFrame, roots: DataFrame) -> DataFrame:
     for i in reversed(range(last)):
         region = F.when(F.col(f"n{i}") <= REGION, F.col(f"p{i}")).otherwise(region)
         size = F.when(F.col(f"n{i}") <= REGION, F.col(f"n{i}")).otherwise(size)
-    placed = placed.select("node", "root", region.alias("region"), size.alias("size"), f"p{last}").filter("size > 1")
+    placed = placed.select("node", "root", region.alias("region"), size.alias("size")).filter(F.col("size").between(2, REGION))
     # A region of one group has nothing left to compare.
     mixed = placed.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("region")
     placed = written(placed.join(written(mixed, "mixed-regions"), "region"), "open-regions")
-    small = placed.filter(F.col("size") <= REGION)
-    other = small.select("region", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = small.join(other, "region").filter("node < b and root <> root_b").select(F.col("node").alias("a"), "b")
-    large = placed.filter(F.col("size") > REGION)
-    if large.isEmpty():
-        return pairs.distinct()
-    # Dense at full depth: equal in this tree's order, so neighbours by number, dealt into stretches of it.
-    order = Window.partitionBy("region", "stretch").orderBy("node")
-    dealt = large.withColumn("stretch", F.shiftright("node", 10))
-    following = [F.struct(F.lead("node", k).over(order).alias("b"), F.lead("root", k).over(order).alias("root_b")) for k in range(1, NEIGHBOURS + 1)]
-    near = dealt.select("node", "root", F.array(*following).alias("following")).select("node", "root", F.explode("following").alias("f"))
-    near = near.filter("f.b is not null and root <> f.root_b")
-    return pairs.union(near.select(F.col("node").alias("a"), "f.b")).distinct()
+    other = placed.select("region", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    return placed.join(other, "region").filter("node < b and root <> root_b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _block_links(words: int, percent: int):
+    """A link from each text that stands apart to every other group of the block in which it has one."""
+
+    def run(members: pa.Table, apart: pa.Table) -> pa.Table:
+        sets = [shingles(t, words) for t in as_bytes(members.column("shard_text").combine_chunks())]
+        lengths = np.array([len(x) for x in sets], np.int64)
+        links: tuple[list[int], list[int]] = ([], [])
+        if sets and len(apart):
+            known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            nodes, roots = members.column("shard_node").to_numpy(), members.column("shard_root").to_numpy()
+            own = zip(*(apart.column(f"block_{c}").to_pylist() for c in ("node", "root")), as_bytes(apart.column("block_text").combine_chunks()))
+            for node, root, text in own:
+                one = shingles(text, words)
+                common = np.add.reduceat(np.isin(known, one, assume_unique=True)[codes], begins, dtype=np.int64)
+                near = (100 * common >= percent * (lengths + len(one) - common)) & (roots != root)
+                _, at = np.unique(roots[near], return_index=True)
+                links[0].extend([node] * len(at))
+                links[1].extend(nodes[near][at].tolist())
+        return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
+
+    return run
+
+
+def _dense_links(regions: DataFrame, roots: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between groups that meet in a region of the shortest prefix with more than ``REGION`` texts.
+
+    Both sides are dealt into blocks by number, so a task holds some ``BLOCK`` texts of each however large the region is.
+    """
+    dense = regions.filter(F.col("n0") > REGION).select("node", F.col("p0").alias("region"))
+    placed = written(dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dense-regions")
+    per_group = placed.groupBy("region", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
+    largest = per_group.groupBy("region").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("mark").alias("mark")
+    )
+    # Trees often part the same texts; a set of texts is compared once.
+    once = largest.filter("n > most").groupBy("n", "mark").agg(F.min("region").alias("region"), F.min_by("main", "region").alias("main"), F.min("most").alias("most"))
+    blocks = [F.ceil(F.col("n") / BLOCK).cast("int").alias("shards"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("blocks")]
+    once = written(once.select("region", "main", *blocks), "mixed-regions")
+    open_rows = written(placed.join(once, "region"), "open-dense-regions")
+    if open_rows.isEmpty():
+        return written(open_rows.select(F.col("node").alias("a"), F.col("root").alias("b")), "links")
+    wanted = written(open_rows.select(F.col("node").alias(ROW)).distinct(), "ends")
+    wanted = written(texts.join(light(wanted), ROW).select(F.col(ROW).alias("node"), "text"), "open-texts")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("node"), F.col(f"{own}s")).cast("int").alias(own)
+        cells = rows.select("region", "node", "root", place, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other))
+        full = cells.join(wanted, "node").select(*[F.col(c).alias(f"{own}_{c}") for c in ("region", "shard", "block", "node", "root", "text")])
+        return full.groupBy(*full.columns[:3])
+
+    members, apart = dealt(open_rows, "shard", "block"), dealt(open_rows.filter("root <> main"), "block", "shard")
+    return written(members.cogroup(apart).applyInArrow(_block_links(words, percent), "a bigint, b bigint"), "links")
 
 
 def grouped(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -231,6 +276,10 @@ def grouped(docs: DataFrame, text: str = "text", words: int = 5, percent: int =
     links = confirmed(first, texts, words, percent)
     roots = components(links)
     rest = confirmed(_neighbours(regions, roots), texts, words, percent)
+    if not rest.isEmpty():
+        links = links.union(rest)
+        roots = components(links)
+    rest = _dense_links(regions, roots, texts, words, percent)
     if not rest.isEmpty():
         roots = components(links.union(rest))
     placed = classes.select("d0", "d1", "node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -95,8 +95,11 @@ def plain_groups(rows, words, percent):
     return sorted(((rows[i][0], len(sets[i]), least[group[i]]) for i in range(len(rows))), key=str)
 
 
+@pytest.mark.parametrize("region,block", [(near_dedup.REGION, near_dedup.BLOCK), (2, 7)])
 @pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
-def test_groups_equal_the_definition(as_table, words, percent):
+def test_groups_equal_the_definition(as_table, monkeypatch, words, percent, region, block):
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     draw = random.Random(words)
     base = [[f"w{draw.randint(0, 3000)}" for _ in range(120)] for _ in range(6)]
     rows = []
@@ -113,6 +116,19 @@ def test_groups_equal_the_definition(as_table, words, percent):
     assert kept.count() == len({g for *_, g in plain_groups(rows, words, percent)})
 
 
+def test_blocks_find_links_of_a_text_that_stands_apart(as_table):
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(words[:100] + [f"x{k}" for k in range(3 * i)]) for i in range(12)] + ["other " + " ".join(words[50:90])]
+    texts = as_table(list(enumerate(chain)), "row_no bigint, text string")
+    regions = as_table([(i, 7, 100) for i in range(13)], "node bigint, p0 bigint, n0 bigint", "r")
+    roots = as_table([(i, 0) for i in range(1, 6)], "node bigint, root bigint", "o")
+    links = near_dedup._dense_links(regions, roots, texts, 3, 85)
+    all_links = links.union(as_table([(i, 0) for i in range(1, 6)], "a bigint, b bigint", "k"))
+    got = {r.node: r.root for r in near_dedup.components(all_links).collect()}
+    want = {d: c for d, _, c in plain_groups(list(enumerate(chain)), 3, 85)}
+    assert all(got.get(d, d) == c for d, c in want.items()) and want[11] == 0 and want[12] == 12
+
+
 def test_no_texts(as_table):
     assert near_dedup.near_duplicates(as_table([], "doc_id bigint, text string")).count() == 0
 

@@ -151,6 +151,11 @@ def snapshot_history(history: DataFrame, batch: DataFrame, **options) -> DataFra
     return closed.unionByName(snapshot(history.filter("valid_to is null"), batch, **options))
 
 
+def arrival_order(feed: DataFrame) -> list[str]:
+    """The columns by which the last of several rows with one key is told: capture, arrival where it is known, text."""
+    return [name for name in (CAPTURED_AT, "arrival", "raw_payload") if name in feed.columns]
+
+
 def observe(feed: DataFrame, profile: FeedProfile = DEFAULT_FEED) -> DataFrame:
     """What the feed says on the day it was captured. A row asserts presence and never absence."""
     observed_on = F.to_date(CAPTURED_AT)
@@ -172,7 +177,7 @@ def high_water_mark(recorded: DataFrame) -> Column:
 def new_observations(mark: Column, feed: DataFrame, profile: FeedProfile = DEFAULT_FEED) -> DataFrame:
     """The feed's observations from the mark on; an older batch is late and is dropped. One row per event and day."""
     fresh = feed.filter(F.to_date(CAPTURED_AT) >= mark)
-    return observe(last_per_key(fresh.withColumn("_day", F.to_date(CAPTURED_AT)), [KEY, "_day"], [CAPTURED_AT]), profile)
+    return observe(last_per_key(fresh.withColumn("_day", F.to_date(CAPTURED_AT)), [KEY, "_day"], arrival_order(feed)), profile)
 
 
 def record_observations(recorded: DataFrame, feed: DataFrame, profile: FeedProfile = DEFAULT_FEED) -> DataFrame:

@@ -12,7 +12,14 @@ SHOWN_ROWS = 20
 
 
 class ValidationError(Exception):
-    """The input breaks a rule of its table; the message names the input, the column and the rows."""
+    """The input breaks a rule of its table; the message names the input, the column and the first rows.
+
+    ``offenders`` is a frame of all rows that fail any check: ``check_name, column_name, id, value``.
+    """
+
+    def __init__(self, message: str, offenders: DataFrame | None = None) -> None:
+        super().__init__(message)
+        self.offenders = offenders
 
 
 def require_columns(df: DataFrame, required: Sequence[str], label: str) -> None:
@@ -35,10 +42,37 @@ def is_bad_time(name: str) -> Column:
     return (F.trim(F.col(name).cast("string")) != "") & parsed_time(F.col(name)).isNull()
 
 
-def validation_report(df: DataFrame, required: Sequence[str], times: Sequence[str]) -> DataFrame:
-    """``(check_name, column_name, failing_rows)`` for every required value and time column, from one pass over the rows."""
+def is_bad_value(name: str, as_type: str) -> Column:
+    """Not blank and no NaN, and still no value of the type."""
+    text = F.trim(F.col(name).cast("string"))
+    return ~F.lower(text).isin("", "nan") & F.col(name).try_cast(as_type).isNull()
+
+
+Checks = list[tuple[str, str, Column]]
+
+
+def checks_of(df: DataFrame, required: Sequence[str], times: Sequence[str], typed: dict[str, str] | None = None) -> Checks:
+    """``(check_name, column_name, condition of a failing row)`` of every check. ``typed`` has columns with their types."""
     checks = [("required_value", name, is_missing(name)) for name in required]
     checks += [("time_format", name, is_bad_time(name)) for name in times if name in df.columns]
+    return checks + [("value_format", name, is_bad_value(name, kind)) for name, kind in (typed or {}).items()]
+
+
+def offenders_of(df: DataFrame, checks: Checks, id_column: str) -> DataFrame:
+    """A row for every row of ``df`` and check that it fails."""
+    failed = [
+        F.when(condition, F.struct(F.lit(check).alias("check_name"), F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value")))
+        for check, name, condition in checks
+    ]
+    rows = df.select(F.col(id_column).alias("id"), F.explode(F.array_compact(F.array(*failed))).alias("f"))
+    return rows.select("f.check_name", "f.column_name", "id", "f.value")
+
+
+def validation_report(
+    df: DataFrame, required: Sequence[str], times: Sequence[str], typed: dict[str, str] | None = None
+) -> DataFrame:
+    """``(check_name, column_name, failing_rows)`` for every check, from one pass over the rows."""
+    checks = checks_of(df, required, times, typed)
     counted = df.agg(*[F.count_if(condition).alias(f"c{i}") for i, (_, _, condition) in enumerate(checks)])
     rows = [
         F.struct(F.lit(check).alias("check_name"), F.lit(name).alias("column_name"), F.col(f"c{i}").alias("failing_rows"))
@@ -48,22 +82,24 @@ def validation_report(df: DataFrame, required: Sequence[str], times: Sequence[st
 
 
 def require_clean(
-    df: DataFrame, required: Sequence[str], times: Sequence[str], id_column: str, label: str
+    df: DataFrame, required: Sequence[str], times: Sequence[str], id_column: str, label: str, typed: dict[str, str] | None = None
 ) -> None:
     """Raise on the first failing check. The rows are read once; only a failure reads them again, up to a limit."""
     require_columns(df, required, label)
-    failing = [row for row in validation_report(df, required, times).collect() if row["failing_rows"]]
+    failing = [row for row in validation_report(df, required, times, typed).collect() if row["failing_rows"]]
     if not failing:
         return
     first = failing[0]
     name, count = first["column_name"], first["failing_rows"]
-    broken = is_missing(name) if first["check_name"] == "required_value" else is_bad_time(name)
+    checks = checks_of(df, required, times, typed)
+    broken = next(condition for check, column, condition in checks if (check, column) == (first["check_name"], name))
+    offenders = offenders_of(df, checks, id_column)
     shown = df.filter(broken).select(id_column, F.col(name).cast("string").alias("value")).limit(SHOWN_ROWS).collect()
     ids = [row[id_column] for row in shown]
     if first["check_name"] == "required_value":
-        raise ValidationError(f"{label}: required column '{name}' is missing a value in {count} row(s): {ids}")
+        raise ValidationError(f"{label}: required column '{name}' is missing a value in {count} row(s): {ids}", offenders)
     values = [row["value"] for row in shown]
-    raise ValidationError(f"{label}: column '{name}' has malformed value(s) {values} in {count} row(s): {ids}")
+    raise ValidationError(f"{label}: column '{name}' has malformed value(s) {values} in {count} row(s): {ids}", offenders)
 
 
 def split_bad(df: DataFrame, problems: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

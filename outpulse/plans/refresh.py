@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from outpulse import schemas
 from outpulse.clock import Clock
@@ -12,7 +13,7 @@ from outpulse.operators import history
 from outpulse.operators.upsert import last_per_key, upsert
 from outpulse.plans import enrich, marts, quality, reliability, staging
 from outpulse.plans.staging import DEFAULT_FEED, FeedProfile
-from outpulse.sources import curated, tables
+from outpulse.sources import curated, landed, tables
 
 
 @dataclass(frozen=True)
@@ -52,15 +53,40 @@ def load_feed_batch(
     The history is written before the next batch can overwrite the feed.
     """
     key = schemas.KEYS["feed"]
-    upserted = upsert(tables.state(spark, root, "feed", batch - 1), rows, key, [history.CAPTURED_AT])
+    # All three tables take the last arrival of a key, by one order.
+    order = history.arrival_order(rows)
+    last = last_per_key(rows, key, order).drop(landed.ARRIVAL)
+    upserted = upsert(tables.state(spark, root, "feed", batch - 1), last, key, [history.CAPTURED_AT])
     feed = tables.write_state(upserted, root, "feed", batch)
-    captured = last_per_key(rows, [*key, history.CAPTURED_AT], ["raw_payload"])
+    captured = last_per_key(rows, [*key, history.CAPTURED_AT], order).drop(landed.ARRIVAL)
     versions = history.snapshot_batches(tables.open_versions(spark, root, batch - 1), captured)
     tables.write_versions(versions, root, batch)
     tables.write_observations(rows, root, batch, profile)
     return feed
 
 
+def load_landed_batch(
+    spark: SparkSession, root: str, batch: int, path: str, captured_at: Column, profile: FeedProfile = DEFAULT_FEED
+) -> DataFrame:
+    """A batch from its landed pages on. Rejected records and unreadable pages are kept with the batch."""
+    records, bad_pages = landed.read_pages(spark, path)
+    rows, rejects = landed.parse_records(records, captured_at)
+    tables.write_table(rejects, f"{root}/feed_rejects/batch={batch}")
+    tables.write_table(bad_pages, f"{root}/feed_bad_pages/batch={batch}")
+    return load_feed_batch(spark, root, batch, rows, profile)
+
+
+def landed_counts(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """One row with ``inserted``, ``updated``, ``failed`` (records set aside) and ``bad_pages`` of a landed batch."""
+
+    def size(name: str, alias: str) -> DataFrame:
+        return spark.read.parquet(f"{root}/{name}/batch={batch}").agg(F.count("*").alias(alias))
+
+    loaded = tables.load_counts(spark, root, "feed", batch)
+    # One row each.
+    return loaded.join(size("feed_rejects", "failed")).join(size("feed_bad_pages", "bad_pages"))
+
+
 def build_marts(
     spark: SparkSession, root: str, batch: int, inputs: Inputs, clock: Clock, profile: FeedProfile = DEFAULT_FEED
 ) -> quality.Tables:

@@ -89,10 +89,14 @@ def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.reject_counts(rejects)
 
 
+#: The records that a paged fetch takes.
+FIRST_RECORDS = 200
+
+
 def feed_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default record limit of one load, lowest ids first."""
     rows, _ = landed.parse_records(
-        landed.first_records(data.landed_records(spark, sf_dir), landed.DEFAULT_RECORD_LIMIT), CLOCK.now_utc()
+        landed.first_records(data.landed_records(spark, sf_dir), FIRST_RECORDS), CLOCK.now_utc()
     )
     return rows.select("source_record_id", "title", "startdate")
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from outpulse import schemas
 from outpulse.operators.validate import parsed_time, require_clean, require_columns, split_bad
-from outpulse.operators.validate import is_bad_time, is_missing
+from outpulse.operators.validate import is_bad_time, is_bad_value, is_missing
 
 
 # The position of a row in its file, so that the last of several rows with one key is known.
@@ -45,13 +45,19 @@ def _load(
 ) -> tuple[DataFrame, DataFrame]:
     require_columns(raw, required, label)
     present = [name for name in times if name in raw.columns]
+    # A column with a default may be absent; where it is present, each row has a value.
+    required = [*required, *[name for name in defaults if name in raw.columns]]
+    kinds = (T.NumericType, T.BooleanType)
+    fields = [f for f in T.StructType.fromDDL(schema).fields if isinstance(f.dataType, kinds) and f.name in raw.columns]
+    typed = {f.name: f.dataType.simpleString() for f in fields}
     if policy == "fail":
-        require_clean(raw, required, present, key, label)
+        require_clean(raw, required, present, key, label, typed)
         return conform(raw, schema, defaults), raw.limit(0)
     if policy != "quarantine":
         raise ValueError(f"unknown policy: {policy}")
     problems = {f"missing_{name}": is_missing(name) for name in required}
     problems |= {f"malformed_{name}": is_bad_time(name) for name in present}
+    problems |= {f"malformed_{name}": is_bad_value(name, kind) for name, kind in typed.items()}
     good, rejects = split_bad(raw, problems)
     return conform(good, schema, defaults), rejects
 

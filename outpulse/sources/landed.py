@@ -13,28 +13,34 @@ RECORD = """guid string, title string, startdate string, enddate string, startti
  location string, parknames string, categories string, link variant, registration_url variant, coordinates string,
  description string"""
 
-# The records that one load takes unless told otherwise.
-DEFAULT_RECORD_LIMIT = 200
+# Where a record stood in what has landed: files in the order of their paths, then the place in the file.
+ARRIVAL = "arrival"
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ].+)?$"
 
 
+def _arrival(file: Column, split: Column, place: Column) -> Column:
+    return F.struct(file.alias("file"), split.cast("long").alias("split"), place.cast("long").alias("place")).alias(ARRIVAL)
+
+
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(records, bad_pages)`` of files that each hold one page, a JSON list of records.
 
-    A page is as large as the API's page size, so one file is one row. ``records`` has one column, ``raw_payload``.
+    A page is as large as the API's page size, so one file is one row. ``records`` has ``raw_payload`` and ``arrival``.
     """
     pages = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("file"), F.from_json("value", "array<string>").alias("records"), "value"
     )
     is_list = F.trim("value").startswith("[") & F.col("records").isNotNull()
-    records = pages.filter(is_list).select(F.explode("records").alias("raw_payload"))
+    records = pages.filter(is_list).select("file", F.posexplode("records").alias("place", "raw_payload"))
+    records = records.select("raw_payload", _arrival(F.col("file"), F.lit(0), F.col("place")))
     return records, pages.filter(~is_list).select("file", F.lit("not_a_json_list").alias("reason"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Records of files with one JSON object per line."""
-    return spark.read.text(path).select(F.col("value").alias("raw_payload"))
+    split = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return spark.read.text(path).select(F.col("value").alias("raw_payload"), _arrival(*split, F.monotonically_increasing_id()))
 
 
 def first_records(records: DataFrame, limit: int) -> DataFrame:
@@ -51,19 +57,22 @@ def link_url(value: Column) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    """The date of an ISO date or timestamp; NULL for anything else."""
-    return F.when(text.rlike(ISO_DATE), text).try_cast("timestamp_ntz").cast("date")
+    """The date of an ISO date or timestamp, or of the basic form without hyphens; NULL for anything else."""
+    basic = F.when(text.rlike(r"^\d{8}$"), F.concat_ws("-", text.substr(1, 4), text.substr(5, 2), text.substr(7, 2)))
+    return F.coalesce(F.when(text.rlike(ISO_DATE), text), basic).try_cast("timestamp_ntz").cast("date")
 
 
 def parse_records(records: DataFrame, ingested_at: Column) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)``: a record without an id or with an unreadable date is set aside, the rest goes on.
 
-    The original text stays with its row. Missing coordinates are no defect.
+    The original text stays with its row, and so does its place of arrival. Missing coordinates are no defect.
     """
+    arrival = [ARRIVAL] if ARRIVAL in records.columns else []
     # Unfolding the one parsed record keeps the parsing in a step of its own. As a plain column it would be repeated
     # inside every filter on one of its fields.
     parsed = records.select(
         "raw_payload",
+        *arrival,
         ingested_at.cast("timestamp_ntz").alias("ingested_at"),
         F.inline(F.array(F.from_json("raw_payload", RECORD))),
     )
@@ -97,6 +106,7 @@ def parse_records(records: DataFrame, ingested_at: Column) -> tuple[DataFrame, D
         "description",
         "raw_payload",
         "ingested_at",
+        *arrival,
     )
     return rows, rejects.select("guid", "reason", "raw_payload")
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from outpulse.clock import Clock
 from outpulse.functions.geo import parse_position
 from outpulse.operators.validate import ValidationError
-from outpulse.sources import curated, landed
+from outpulse.plans import refresh
+from outpulse.sources import curated, landed, tables
 
 CLOCK = Clock("2026-07-20 16:00:00")
 
@@ -118,3 +119,48 @@ def test_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text(json.dumps(RECORD) + "\n" + "not json\n")
     rows, rejects = landed.parse_records(landed.read_lines(spark, str(tmp_path)), CLOCK.now_utc())
     assert rows.count() == 1 and rejects.first()["reason"] == "missing_id"
+
+
+def test_unreadable_numbers_and_flags(spark, tmp_path):
+    text = EVENT_HEADER + "e1,s1,T,active,2026-07-22T18:30:00,,twelve,Pier,,\ne2,s1,T,active,2026-07-22T18:30:00,,1,Pier,,nan\n"
+    raw = csv(spark, tmp_path, text)
+    with pytest.raises(ValidationError, match="cost.*twelve.*e1") as error:
+        curated.load_events(raw)
+    assert [tuple(r) for r in error.value.offenders.collect()] == [("value_format", "cost", "e1", "twelve")]
+    good, rejects = curated.load_events(raw, policy="quarantine")
+    assert [r["event_id"] for r in good.collect()] == ["e2"]
+    assert [r["reason"] for r in rejects.collect()] == ["malformed_cost"]
+
+
+def test_a_flag_that_is_there_has_a_value(spark):
+    rows = [("s1", "true"), ("s2", "maybe"), ("s3", None)]
+    raw = spark.createDataFrame([(key, "n", "c", "w", "u", flag) for key, flag in rows], "source_id string, name string, category string, channel_type string, url string, is_active string")
+    good, rejects = curated.load_sources(raw, policy="quarantine")
+    assert [r["source_id"] for r in good.collect()] == ["s1"]
+    assert {r["source_id"]: r["reason"] for r in rejects.collect()} == {"s2": "malformed_is_active", "s3": "missing_is_active"}
+    with pytest.raises(ValidationError, match="is_active"):
+        curated.load_sources(raw)
+
+
+def test_dates_without_hyphens(spark):
+    texts = ["20260719", "2026-07-19", "20261340", "2026071", "x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(landed.iso_date(F.col("t")).cast("string")).collect()
+    assert [r[0] for r in got] == ["2026-07-19", "2026-07-19", None, None, None]
+
+
+def test_a_landed_batch_takes_the_last_arrival(spark, tmp_path):
+    pages, root = tmp_path / "pages", str(tmp_path / "run")
+    pages.mkdir()
+    named = lambda title, **more: {**RECORD, "title": title, **more}
+    (pages / "p1.json").write_text(json.dumps([named("z first"), named("b"), named("other", guid="o-1")]))
+    (pages / "p2.json").write_text(json.dumps([named("y"), named("a last"), named("no id", guid="")]))
+    (pages / "p3.json").write_text("{}")
+    feed = refresh.load_landed_batch(spark, root, 0, str(pages), CLOCK.now_utc())
+    assert {r["source_record_id"]: r["title"] for r in feed.collect()} == {"k-7": "a last", "o-1": "other"}
+    versions = tables.open_versions(spark, root, 0)
+    assert {r["source_record_id"]: r["title"] for r in versions.collect()} == {"k-7": "a last", "o-1": "other"}
+    assert tables.observations(spark, root).count() == 2
+    counts = refresh.landed_counts(spark, root, 0).first().asDict()
+    assert counts == {"inserted": 2, "updated": 0, "failed": 1, "bad_pages": 1}
+    again = refresh.load_landed_batch(spark, root, 1, str(pages), CLOCK.now_utc())
+    assert again.count() == 2 and refresh.landed_counts(spark, root, 1).first()["updated"] == 2

@@ -219,3 +219,8 @@ def test_junk_is_not_kept(as_table):
     assert sum(kept[i] for i in range(80)) >= 76 and len(got) == len(rows)
     nothing = perplexity.classify(docs, as_table([], "doc_id bigint, quality int, toxic int", "n")).collect()
     assert all(r.kept == (r.perplexity is not None) for r in nothing)
+
+
+def test_perplexity_of_no_documents(as_table):
+    docs = as_table([], "doc_id bigint, text string, lang string")
+    assert perplexity.classify(docs, as_table([(1, 1, 0)], "doc_id bigint, quality int, toxic int", "l")).count() == 0

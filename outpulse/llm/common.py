@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from outpulse.session import CHECKPOINT_SETTING
 
 ROW = "row_no"
+#: Bits of a row number for the place in the file; those above are for the file.
+FILE_BITS = 40
 
 #: A table of at most this many numbers or short strings may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -50,10 +52,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with a number per row, so that rows with the same or no id stay apart.
 
-    The number follows from the position in the scanned files, so a recomputed task gives the same numbers. ``df``
-    must therefore be a scan of files, or narrow steps on one.
+    The number is made of the file's place among the sorted paths and the row's place in the file. No job that scans
+    the files anew changes it, however it splits them. ``df`` must be a scan of Parquet files, or narrow steps on one.
     """
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    where = df.metadataColumn("_metadata")
+    placed = df.select("*", where["file_path"].alias("scanned_file"), where["row_index"].alias("row_in_file"))
+    # Asked of the scan, as other lists of files write paths with special characters otherwise. It reads no column.
+    paths = sorted(r[0] for r in df.select(where["file_path"]).distinct().collect())
+    listed = pa.table({"scanned_file": pa.array(paths, pa.string()), "file_no": pa.array(range(len(paths)), pa.int64())})
+    placed = placed.join(F.broadcast(df.sparkSession.createDataFrame(listed)), "scanned_file", "left")
+    # A path that is not listed would leave rows without a number.
+    file_no = F.coalesce("file_no", F.raise_error(F.lit("a scanned file is not listed")).cast("bigint"))
+    number = F.shiftleft(file_no, FILE_BITS).bitwiseOR(F.col("row_in_file"))
+    return placed.withColumn(ROW, number).drop("scanned_file", "row_in_file", "file_no")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -68,6 +68,54 @@ def test_dedup_equals_the_definition(as_table, hot):
     assert sorted(map(tuple, got)) == sorted(plain_removed([(t or "").encode() for t in texts], 200))
 
 
+def splits_change(monkeypatch, spark, module):
+    """From now on the files are split otherwise for each written table, as when executors come and go."""
+    setting, written = "spark.sql.files.maxPartitionBytes", module.written
+    before, sizes = spark.conf.get(setting), itertools.cycle(["2k", "700"])
+
+    def split_anew(df, name):
+        result = written(df, name)
+        spark.conf.set(setting, next(sizes))
+        return result
+
+    monkeypatch.setattr(module, "written", split_anew)
+    return lambda: spark.conf.set(setting, before)
+
+
+def test_dedup_when_splits_change_between_jobs(spark, as_table, monkeypatch):
+    draw = random.Random(10)
+    prose = lambda n: "".join(draw.choice("abcdefg ") for _ in range(n))
+    passage = prose(300)
+    texts = [prose(draw.randint(0, 900)) + (passage if i % 5 == 0 else "") + prose(60) for i in range(60)]
+    docs = as_table(list(enumerate(texts)), "doc_id bigint, text string")
+    restore = splits_change(monkeypatch, spark, suffix_dedup)
+    try:
+        got = suffix_dedup.dedup(docs).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    finally:
+        restore()
+    assert sorted(map(tuple, got)) == sorted(plain_removed([t.encode() for t in texts], 200))
+
+
+def test_groups_when_splits_change_between_jobs(spark, as_table, monkeypatch):
+    draw = random.Random(11)
+    texts = [" ".join(f"w{draw.randint(0, 3000)}" for _ in range(80)) for _ in range(40)]
+    rows = list(enumerate(texts + [t + " almost" for t in texts[::2]]))
+    docs = as_table(rows, "doc_id bigint, text string")
+    restore = splits_change(monkeypatch, spark, near_dedup)
+    try:
+        got = near_dedup.near_duplicates(docs, words=3, percent=85).collect()
+    finally:
+        restore()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_groups(rows, 3, 85)
+
+
+def test_row_numbers_of_paths_with_special_characters(spark, tmp_path):
+    path = str(tmp_path / "a b%20é+x")
+    spark.range(100).repartition(3).write.parquet(path)
+    rows = numbered(spark.read.parquet(path)).collect()
+    assert len({r.row_no for r in rows}) == len({r.id for r in rows}) == 100
+
+
 def test_dedup_of_nothing(as_table):
     assert suffix_dedup.dedup(as_table([], "doc_id bigint, text string")).count() == 0
 

@@ -20,9 +20,9 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that their own rules and their host's verdict leave."""
+    """Documents that their own rules, that on symbols too, and their host's verdict leave."""
     ship(spark)
-    return quality_rules.judge(docs).filter("kept").select("doc.*")
+    return quality_rules.judge(docs, max_symbol_percent=quality_rules.MAX_SYMBOL_PERCENT).filter("kept").select("doc.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from outpulse.llm.common import as_bytes
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
+#: Symbols in percent of word characters beyond which a text is junk, for callers that ask for this rule.
+MAX_SYMBOL_PERCENT = 10
 #: A host goes when its shrunken failure rate is above this.
 MAX_HOST_RATE = 0.8
 
@@ -77,6 +79,10 @@ def fails(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words)
 
 
+def junk(n_symbols: Column, word_chars: Column, max_percent: int) -> Column:
+    return 100 * n_symbols > max_percent * word_chars
+
+
 def host_verdicts(flags: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per host of ``flags(host, failed)``: documents, failures, shrunken rate, verdict.
 
@@ -103,17 +109,23 @@ def host_verdicts(flags: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     return rated.select("host", "host_docs", "host_failed", "host_rate", (F.col("host_rate") > max_rate).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def judge(
+    docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE, max_symbol_percent: int | None = None
+) -> DataFrame:
     """``docs`` as struct column ``doc``, with the rule measures, ``base_failed``, ``host_rejected`` and ``kept``.
 
     Any number of rows and columns, whatever their names. A null or empty text has no words and fails. Repeated rows are
-    judged alike and each counts for its host. A null host is never rejected. Texts are measured whole.
+    judged alike and each counts for its host. A null host is never rejected. Texts are measured whole. With
+    ``max_symbol_percent``, texts of more symbols fail too and count for their hosts; the SQL of op9 has no such rule.
 
     Only counts per host are shuffled. Rejected hosts alone are joined back; Spark broadcasts them when they are few and
     splits the rows of a frequent host otherwise.
     """
     measured = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), features(F.col(text)).alias("f"))
-    measured = measured.select("doc", "f.*", fails(F.col("f.n_words"), F.col("f.n_repeat_words")).alias("base_failed"))
+    failed = fails(F.col("f.n_words"), F.col("f.n_repeat_words"))
+    if max_symbol_percent is not None:
+        failed |= junk(F.col("f.n_symbols"), F.col("f.word_chars"), max_symbol_percent)
+    measured = measured.select("doc", "f.*", failed.alias("base_failed"))
     flags = measured.select(F.col(f"doc.`{host}`").alias("host"), F.col("base_failed").alias("failed"))
     rejected = host_verdicts(flags, max_host_rate).filter("host_rejected").select("host", "host_rejected")
     judged = measured.withColumn("host", F.col(f"doc.`{host}`")).join(rejected, "host", "left")

@@ -45,6 +45,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(seen[3])
 
 
+def test_junk_is_dropped_and_counts_for_its_host(spark, tmp_path):
+    good = " ".join(f"w{i}" for i in range(60))
+    junk = " ".join(f"w{i}$$%" for i in range(60))
+    texts = [(good, "fine")] * 30 + [(junk, "fine"), (good + " $$", "fine")] + [(junk, "bad")] * 200 + [(good, "bad")]
+    rows = [(i, t, "en", host, len(t), "extra") for i, (t, host) in enumerate(texts)]
+    sf_dir = tables(spark, tmp_path, rows, [])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, sf_dir).collect()} == {*range(30), 31}
+
+
 def test_nothing_goes_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], [])).count() == 0
 

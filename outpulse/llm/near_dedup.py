@@ -1,7 +1,7 @@
-"""Near-duplicate groups by an LSH forest of MinHash signatures.
+"""Near-duplicate groups by MinHash signatures in the manner of an LSH forest.
 
-A text's signature is several short ones, a tree of the forest each. In the order of a tree, texts with a long common
-prefix of their signatures stand together; regions of the order in which the shortest prefix is common give candidates.
+A text's signature is several short ones, a tree of the forest each. Nothing is sorted: equal hashes of prefixes of fixed
+lengths stand in for the order of a tree, and regions of it in which the shortest prefix is common give candidates.
 A dense region is parted by longer prefixes until it is small. Candidates are confirmed on the full shingle sets, and
 linked texts are joined to groups.
 

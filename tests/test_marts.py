@@ -1,5 +1,5 @@
 import pytest
-from conftest import BROKEN, EVENTS, events_frame, feed_row
+from helpers import BROKEN, EVENTS, events_frame, feed_row
 from pyspark.sql import functions as F
 
 from outpulse.clock import Clock

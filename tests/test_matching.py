@@ -7,7 +7,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import ZIPS, at, day
+from helpers import ZIPS, at, day
 from pyspark.sql import functions as F
 
 from outpulse import schemas

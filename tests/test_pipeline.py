@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from conftest import day, feed_row
+from helpers import day, feed_row
 from test_upsert_history import random_batches, rows_of
 
 from __spark_entry__ import entry, oracle_sql, queries

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import EVENTS, at, day, feed_row
+from helpers import EVENTS, at, day, feed_row
 from pyspark.sql import functions as F
 
 from outpulse.functions.text import category_label, feed_category, is_cancelled_title, plain_number, tag_set

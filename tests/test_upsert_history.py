@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import at, day, feed_row
+from helpers import at, day, feed_row
 from pyspark.sql import functions as F
 
 from outpulse.operators import history, upsert

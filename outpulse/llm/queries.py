@@ -13,6 +13,7 @@ from outpulse.llm import (
     packing,
     perplexity,
     quality_rules,
+    source_divergence,
     suffix_dedup,
     token_counts,
     url_filter,
@@ -112,6 +113,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -125,6 +130,7 @@ QUERIES = {
         op8_language_id,
         op9_quality_rules,
         op10_packing,
+        op11_source_divergence,
     )
 }
 
@@ -180,5 +186,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+_DIVERGENCE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT d, lang, source,
+         unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.lang_n::HUGEINT AS lang_n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source)::HUGEINT AS total FROM full_counts),
+measured AS (
+  SELECT s.lang, s.source, s.term, s.n, 1 + (1000000000 * (s.n + 5)) // (s.total + 5 * l.v) AS p,
+         1 + (1000000000 * (s.lang_n + 5)) // (l.total + 5 * l.v) AS lang_p
+  FROM sized s JOIN langs l USING (lang)),
+differing AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM measured a JOIN measured b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN differing f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - lang_p FROM measured WHERE n > 0 AND p > lang_p)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50
+"""
+
 #: DuckDB SQL for the queries that it can express on whole tables. Tests compare the others with brute force.
-SQL: dict[str, str] = {"op7_url_filter": _URL_SQL, "op9_quality_rules": _RULES_SQL}
+SQL: dict[str, str] = {
+    "op7_url_filter": _URL_SQL,
+    "op9_quality_rules": _RULES_SQL,
+    "op11_source_divergence": _DIVERGENCE_SQL,
+}

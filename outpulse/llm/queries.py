@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outpulse.llm import (
+    conversation_repair,
     decontaminate,
     language_id,
     near_dedup,
+    order_minhash,
     packing,
     perplexity,
     quality_rules,
@@ -117,6 +119,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc.doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -131,6 +143,8 @@ QUERIES = {
         op9_quality_rules,
         op10_packing,
         op11_source_divergence,
+        op12_document_fingerprints,
+        op13_conversation_repair,
     )
 }
 

@@ -105,18 +105,16 @@ def snapshot(
     return both.select(F.inline(versions))
 
 
-def snapshot_batches(
-    current: DataFrame,
+def touched_versions(
+    touched: DataFrame,
     batches: DataFrame,
     checked: Sequence[str] = schemas.HISTORY_CHECKED,
     carried: Sequence[str] = schemas.HISTORY_CARRIED,
 ) -> DataFrame:
-    """As ``snapshot`` for rows of several capture times at once, a key at most once per capture time.
+    """The versions that rows of several capture times make of the open versions of their keys (``touched``).
 
-    Only keys that occur in the batches take part; the windows run over their open version and their new states. A
-    state captured before the open version began is late and is dropped.
+    A key is there at most once per capture time. A state captured before the open version began is late and is dropped.
     """
-    keys = batches.select(KEY).distinct()
     new = batches.select(
         KEY,
         *checked,
@@ -125,14 +123,14 @@ def snapshot_batches(
         F.col(CAPTURED_AT).alias("valid_from"),
         F.lit(0).alias("_was_open"),
     )
-    touched = current.join(keys, KEY, "left_semi").drop("valid_to").withColumn("_was_open", F.lit(1))
+    touched = touched.drop("valid_to").withColumn("_was_open", F.lit(1))
     by_key = W.partitionBy(KEY)
     by_time = by_key.orderBy("valid_from", F.desc("_was_open"))
     state = F.struct(*checked)
     late = (F.max("_was_open").over(by_key) == 1) & (
         F.max("_was_open").over(by_time.rowsBetween(W.unboundedPreceding, W.currentRow)) == 0
     )
-    versions = (
+    return (
         touched.unionByName(new)
         .withColumn("_late", late)
         .filter("not _late")
@@ -142,6 +140,17 @@ def snapshot_batches(
         .withColumn("valid_to", F.lead("valid_from").over(by_time))
         .select(*HISTORY_COLUMNS)
     )
+
+
+def snapshot_batches(
+    current: DataFrame,
+    batches: DataFrame,
+    checked: Sequence[str] = schemas.HISTORY_CHECKED,
+    carried: Sequence[str] = schemas.HISTORY_CARRIED,
+) -> DataFrame:
+    """As ``snapshot`` for rows of several capture times at once. Only keys that occur in the batches take part."""
+    keys = batches.select(KEY).distinct()
+    versions = touched_versions(current.join(keys, KEY, "left_semi"), batches, checked, carried)
     return current.join(keys, KEY, "left_anti").select(*HISTORY_COLUMNS).unionByName(versions)
 
 

@@ -94,19 +94,23 @@ def stage_events(events: DataFrame) -> DataFrame:
 def time_of_day_seconds(text: Column) -> Column:
     """Seconds after midnight of a full timestamp text; NULL for any other text.
 
-    A text of the right form that is no real time gives NULL here; ``bad_times`` counts such rows.
+    A text of the right form that is no real time gives NULL here; ``bad_time_counts`` counts such rows.
     """
     parsed = F.when(text.rlike(FULL_TIMESTAMP), text).try_cast("timestamp_ntz")
     return F.hour(parsed) * 3600 + F.minute(parsed) * 60 + F.second(parsed)
 
 
-def bad_times(feed: DataFrame) -> DataFrame:
-    """How many start and end texts look like timestamps but are none."""
+def bad_time_counts() -> dict[str, Column]:
+    """How many start and end texts look like timestamps but are none, as aggregates by name."""
 
     def broken(name: str) -> Column:
         return F.count_if(F.col(name).rlike(FULL_TIMESTAMP) & time_of_day_seconds(F.col(name)).isNull())
 
-    return feed.agg(broken("starttime").alias("bad_starttime"), broken("endtime").alias("bad_endtime"))
+    return {"bad_starttime": broken("starttime"), "bad_endtime": broken("endtime")}
+
+
+def bad_times(feed: DataFrame) -> DataFrame:
+    return feed.agg(*[count.alias(name) for name, count in bad_time_counts().items()])
 
 
 def _at(day: Column, seconds: Column) -> Column:

@@ -23,18 +23,23 @@ def _arrival(file: Column, split: Column, place: Column) -> Column:
     return F.struct(file.alias("file"), split.cast("long").alias("split"), place.cast("long").alias("place")).alias(ARRIVAL)
 
 
-def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(records, bad_pages)`` of files that each hold one page, a JSON list of records.
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, value)`` of files that each hold one page. A page is as large as the API's page size, so one file is one row."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
-    A page is as large as the API's page size, so one file is one row. ``records`` has ``raw_payload`` and ``arrival``.
-    """
-    pages = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.from_json("value", "array<string>").alias("records"), "value"
-    )
+
+def split_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(records, bad_pages)`` of pages that are JSON lists of records. ``records`` has ``raw_payload`` and ``arrival``."""
+    read = pages.select("file", F.from_json("value", "array<string>").alias("records"), "value")
     is_list = F.trim("value").startswith("[") & F.col("records").isNotNull()
-    records = pages.filter(is_list).select("file", F.posexplode("records").alias("place", "raw_payload"))
+    records = read.filter(is_list).select("file", F.posexplode("records").alias("place", "raw_payload"))
     records = records.select("raw_payload", _arrival(F.col("file"), F.lit(0), F.col("place")))
-    return records, pages.filter(~is_list).select("file", F.lit("not_a_json_list").alias("reason"))
+    return records, read.filter(~is_list).select("file", F.lit("not_a_json_list").alias("reason"))
+
+
+def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(records, bad_pages)`` of files that each hold one page, a JSON list of records."""
+    return split_pages(pages(spark, path))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

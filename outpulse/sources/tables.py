@@ -1,19 +1,21 @@
-"""Parquet tables of a run, written so that repeating a write gives the same table.
+"""The tables of a run, written so that a reader sees a batch wholly or not at all, and that repeating one changes nothing.
 
-A folder is never read and overwritten by the same job: states go to a new folder per batch, and the observation fact
-replaces days only after they are complete elsewhere. A job that dies is simply run again for the same batch.
+Every batch writes folders of its own and then one commit that names what is live (``commits``). Raw tables and open
+versions are keyed tables (``keyed``): a batch adds what it brings. Closed versions and rejects are only added to. The
+observation fact names a folder per day, and a batch replaces the days that it touches.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from outpulse import schemas
 from outpulse.operators import history
-from outpulse.operators.upsert import STATUS, upsert_counts
 from outpulse.plans.staging import DEFAULT_FEED, FeedProfile
+from outpulse.sources import commits, keyed
 
 
 def read_if_written(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,91 +29,135 @@ def read_if_written(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Materialise a mart or a state; what follows reads the files instead of repeating the work."""
+    """Materialise a mart; what follows reads the files instead of repeating the work."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SCHEMAS = {"feed": schemas.FEED, "sources": schemas.SOURCES, "events": schemas.EVENTS}
+#: Which commits tell of a table: the curated files and the feed are loaded by runs of their own.
+LOGS = {"sources": "curated", "events": "curated", "feed": "feed", "open_versions": "feed"}
+SCHEMAS = {
+    "feed": schemas.FEED,
+    "sources": schemas.SOURCES,
+    "events": schemas.EVENTS,
+    "open_versions": history.HISTORY_SCHEMA,
+}
+KEYS = {**schemas.KEYS, "open_versions": [history.KEY]}
+
+
+class Batch:
+    """What one batch writes. Nothing of it is live before ``commit``."""
+
+    def __init__(
+        self, spark: SparkSession, root: str, log: str, batch: int, buckets: int = keyed.BUCKETS, carries_on: bool = True
+    ) -> None:
+        """``carries_on``: from what was live after the batch before, which must be there."""
+        self.spark, self.root, self.log, self.batch, self.buckets = spark, root, log, batch, buckets
+        before = commits.read(spark, root, log, batch - 1) if carries_on else {}
+        self.content = {"tables": {}, "closed_versions": [], "observation_days": {}, **before, "counts": {}, "folders": {}}
+
+    def declared(self, name: str) -> StructType:
+        return self.spark.createDataFrame([], SCHEMAS[name]).schema
+
+    def read(self, name: str, only: DataFrame | None = None) -> DataFrame:
+        meta = self.content["tables"].get(name) or keyed.new(self.buckets)
+        return keyed.read(self.spark, self.root, meta, self.declared(name), KEYS[name], only)
+
+    def upsert(self, name: str, rows: DataFrame) -> None:
+        """Add ``rows``, a key at most once, and merge the buckets that are due."""
+        meta = self.content["tables"].get(name) or keyed.new(self.buckets)
+        place = self.root, name
+        meta, counts = keyed.append(*place, meta, self.declared(name), rows, KEYS[name], self.batch)
+        due = keyed.due(meta)
+        meta = keyed.compact(self.spark, *place, meta, self.declared(name), KEYS[name], self.batch, due)
+        self.content["tables"][name] = meta
+        self.content["counts"][name] = counts
+
+    def folder(self, name: str, df: DataFrame, **metrics: Column) -> DataFrame:
+        """``df`` written to a folder that the commit names, and read back. ``metrics`` are taken from the rows as they
+        pass, and kept by the commit."""
+        if metrics:
+            observed = Observation()
+            df = df.observe(observed, *[metric.alias(key) for key, metric in metrics.items()])
+        self.content["folders"][name] = commits.write_folder(df, self.root, name, self.batch)
+        if metrics:
+            self.content["counts"][name] = {key: observed.get.get(key, 0) for key in metrics}
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.content['folders'][name]}")
+
+    def snapshot(self, captured: DataFrame) -> None:
+        """Take captured states into the change history. Only versions of their keys are read and written."""
+        keys = captured.select(history.KEY).distinct()
+        versions = history.touched_versions(self.read("open_versions", only=keys), captured).persist()
+        try:
+            self.upsert("open_versions", versions.filter("valid_to is null"))
+            closed = commits.write_folder(versions.filter("valid_to is not null"), self.root, "closed_versions", self.batch)
+        finally:
+            versions.unpersist()
+        self.content["closed_versions"] = [*self.content["closed_versions"], closed]
+
+    def observe(self, rows: DataFrame, profile: FeedProfile = DEFAULT_FEED) -> None:
+        """Record rows in the observation fact. The days from the last recorded one on are read and written anew."""
+        days = self.content["observation_days"]
+        last = max(days, default="1900-01-01")
+        fresh = history.new_observations(F.lit(last).cast("date"), rows, profile)
+        recorded = _observation_days(self.spark, self.root, {d: f for d, f in days.items() if d >= last})
+        kept = recorded.join(fresh.select(*history.OBSERVATION_KEY), history.OBSERVATION_KEY, "left_anti")
+        complete = kept.unionByName(fresh).withColumn("day", F.col("observed_on").cast("string"))
+        folder = commits.write_folder(complete, self.root, "observations", self.batch, "day")
+        # One row a day of the batch.
+        written = self.spark.read.option("basePath", f"{self.root}/{folder}").schema("day string").parquet(f"{self.root}/{folder}")
+        touched = [r[0] for r in written.select("day").distinct().collect()]
+        self.content["observation_days"] = {**days, **{day: folder for day in touched}}
+
+    def commit(self) -> None:
+        commits.commit(self.spark, self.root, self.log, self.batch, self.content)
 
 
 def state(spark: SparkSession, root: str, name: str, batch: int) -> DataFrame:
-    """A raw table after a batch, with the columns it was written with and any declared since, which are NULL.
-
-    Batches count from zero; before that the table is empty. A batch that is missing is an error: going on from
-    nothing would lose what was known.
-    """
+    """A keyed table after a batch, with the columns it was written with and any declared since, which are NULL."""
+    content = commits.read(spark, root, LOGS[name], batch)
     declared = spark.createDataFrame([], SCHEMAS[name])
-    if batch < 0:
+    if name not in content.get("tables", {}):
         return declared
-    written = spark.read.parquet(f"{root}/{name}/batch={batch}").drop(STATUS)
-    added = [field for field in declared.schema.fields if field.name not in written.columns]
-    return written.select("*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in added])
+    return keyed.read(spark, root, content["tables"][name], declared.schema, KEYS[name])
+
 
+def batch_counts(spark: SparkSession, root: str, log: str, batch: int) -> dict[str, dict[str, int]]:
+    """What a batch counted, by table."""
+    return commits.read(spark, root, log, batch)["counts"]
 
-def write_state(upserted: DataFrame, root: str, name: str, batch: int) -> DataFrame:
-    """The outcome of an upsert as the state of its batch. What happened to each row stays beside it."""
-    write_table(upserted, f"{root}/{name}/batch={batch}")
-    return state(upserted.sparkSession, root, name, batch)
+
+def open_versions(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    return state(spark, root, "open_versions", batch)
 
 
 def load_counts(spark: SparkSession, root: str, name: str, batch: int) -> DataFrame:
-    """``(inserted, updated)`` of the batch, from the one column that the state keeps for it."""
-    return upsert_counts(spark.read.parquet(f"{root}/{name}/batch={batch}").select(STATUS))
+    """One row with ``inserted`` and ``updated`` of the batch, as its commit states them."""
+    counts = batch_counts(spark, root, LOGS[name], batch)[name]
+    return spark.createDataFrame([(counts["inserted"], counts["updated"])], "inserted bigint, updated bigint")
 
 
-def open_versions(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    if batch < 0:
-        return spark.createDataFrame([], history.HISTORY_SCHEMA)
-    versions = spark.read.schema(f"{history.HISTORY_SCHEMA}, is_open boolean").parquet(f"{root}/history/batch={batch}")
-    return versions.filter("is_open").drop("is_open")
+def whole_history(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """All versions after a batch: what is open then, and whatever a batch up to it closed."""
+    closed = commits.read(spark, root, "feed", batch).get("closed_versions", [])
+    still_open = state(spark, root, "open_versions", batch).select(*history.HISTORY_COLUMNS)
+    if not closed:
+        return still_open
+    return still_open.unionByName(spark.read.schema(history.HISTORY_SCHEMA).parquet(*[f"{root}/{folder}" for folder in closed]))
 
 
-def write_versions(open_and_closed: DataFrame, root: str, batch: int) -> None:
-    """What a batch makes of the open versions: one folder with those still open and those it closed, one write.
+def _observation_days(spark: SparkSession, root: str, days: dict[str, str]) -> DataFrame:
+    if not days:
+        return spark.createDataFrame([], history.OBSERVATION_SCHEMA)
+    return spark.read.schema(history.OBSERVATION_SCHEMA).parquet(*[f"{root}/{folder}/day={day}" for day, folder in sorted(days.items())])
 
-    Versions that earlier batches closed stay in the folders of these batches and are not rewritten.
-    """
-    (
-        open_and_closed.withColumn("is_open", F.col("valid_to").isNull())
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("is_open")
-        .parquet(f"{root}/history/batch={batch}")
-    )
 
+def observations(spark: SparkSession, root: str, batch: int | None = None) -> DataFrame:
+    """The observation fact after a batch, or after the last one."""
+    content = commits.latest(spark, root, "feed") if batch is None else commits.read(spark, root, "feed", batch)
+    return _observation_days(spark, root, content.get("observation_days", {}))
 
-def whole_history(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    """All versions after a batch: what is open then, and whatever a batch up to it closed."""
-    folders = f"{history.HISTORY_SCHEMA}, batch int, is_open boolean"
-    versions = read_if_written(spark, f"{root}/history", folders)
-    wanted = (F.col("is_open") & (F.col("batch") == batch)) | (~F.col("is_open") & (F.col("batch") <= batch))
-    return versions.filter(wanted).drop("batch", "is_open")
-
-
-def observations(spark: SparkSession, root: str) -> DataFrame:
-    return read_if_written(spark, f"{root}/observations", history.OBSERVATION_SCHEMA)
-
-
-def write_observations(feed: DataFrame, root: str, batch: int, profile: FeedProfile = DEFAULT_FEED) -> DataFrame:
-    """Record a batch in the observation fact, which is partitioned by day.
-
-    The last recorded day is a single value on the driver. Only the days from it on are read, completed with the rows
-    that the batch does not replace, set down under the batch, and then put in the place of the old ones.
-    """
-    spark = feed.sparkSession
-    recorded = observations(spark, root)
-    last = recorded.agg(F.max("observed_on")).first()[0]
-    mark = F.lit(last or "1900-01-01").cast("date")
-    fresh = history.new_observations(mark, feed, profile)
-    kept = recorded.filter(F.col("observed_on") >= mark).join(
-        fresh.select(*history.OBSERVATION_KEY), history.OBSERVATION_KEY, "left_anti"
-    )
-    complete = write_table(kept.unionByName(fresh), f"{root}/observation_days/batch={batch}")
-    (
-        complete.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("observed_on")
-        .parquet(f"{root}/observations")
-    )
-    return observations(spark, root)
+
+def batch_folder(spark: SparkSession, root: str, log: str, name: str, batch: int) -> DataFrame:
+    """A table that a batch wrote whole, such as its rejects or a mart."""
+    return spark.read.parquet(f"{root}/{commits.read(spark, root, log, batch)['folders'][name]}")

@@ -120,8 +120,9 @@ def test_curated_files_are_upserted(spark, tmp_path):
 
 
 def test_a_written_state_may_lack_later_columns(spark, tmp_path):
-    old = spark.createDataFrame([("s1", "One")], "source_id string, name string")
-    old.write.parquet(f"{tmp_path}/sources/batch=0")
+    old = tables.Batch(spark, str(tmp_path), "curated", 0)
+    old.upsert("sources", spark.createDataFrame([("s1", "One")], "source_id string, name string"))
+    old.commit()
     state = tables.state(spark, str(tmp_path), "sources", 0)
     assert "image_url" in state.columns and state.first()["image_url"] is None
 

@@ -116,6 +116,11 @@ from (select *, count(*) over (partition by source_record_id) as n from feed_bat
   qualify row_number() over (partition by source_record_id order by ingested_at desc) = 1) t""",
 )
 
+SQL["stored_feed_state"] = SQL["stored_feed_merged"] = compose(
+    "feed_batches",
+    "select *, cast(null as varchar) as raw_payload from feed_batches qualify row_number() over (partition by source_record_id order by ingested_at desc) = 1",
+)
+
 SQL["upsert_counts"] = compose(
     "feed_batches",
     """
@@ -139,7 +144,7 @@ from (
   from feed_batches window w as (partition by source_record_id order by ingested_at)) t
 where before is null or state is distinct from state_before""",
 )
-SQL["scd2_history"] = SQL["scd2_incremental"] = compose("history", "select * from history")
+SQL["scd2_history"] = SQL["scd2_incremental"] = SQL["stored_history"] = compose("history", "select * from history")
 
 block(
     "observations",
@@ -150,7 +155,7 @@ select source_record_id, startdate as scheduled_for, cast(ingested_at as date) a
   cast(startdate - cast(ingested_at as date) as int) as days_ahead_of_event
 from feed_batches""",
 )
-SQL["event_observations"] = compose("observations", "select * from observations")
+SQL["event_observations"] = SQL["stored_observations"] = compose("observations", "select * from observations")
 
 LIFECYCLE = """
 select h.source_record_id, max(title) filter (valid_to is null) as current_title,

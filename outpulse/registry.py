@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +14,21 @@ from pyspark.sql import functions as F
 from outpulse import schemas
 from outpulse.functions import presentation, text
 from outpulse.operators import favorites, history, matching, upsert, validate
-from outpulse.plans import enrich, marts, quality, recommendations, reliability, staging
-from outpulse.session import settle
+from outpulse.plans import enrich, marts, quality, recommendations, refresh, reliability, staging
+from outpulse.session import settle, work_dir
 from outpulse.sources import adapters as data
-from outpulse.sources import curated, landed
+from outpulse.sources import curated, landed, tables
 from outpulse.sources.adapters import CLOCK
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+@functools.cache
+def _own_folder() -> str:
+    """Where stored tables go when no shared folder is set, as in a run on one machine."""
+    return tempfile.mkdtemp(prefix="outpulse-")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.all_events(data.curated_events(spark, sf_dir), data.feed_now(spark, sf_dir))
 
@@ -148,6 +157,55 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.record_observations(settle(history.observe(earlier)), last)
 
 
+#: Days of the feed that one load takes in.
+DAYS_PER_LOAD = 8
+
+
+def _stored_feed(spark: SparkSession, sf_dir: str, merge: bool = False) -> tuple[str, int]:
+    """The feed's batches taken into stored tables, some days a load. Returns their folder and the last batch.
+
+    With ``merge``, a last batch brings nothing and merges every bucket of the feed table.
+    """
+    root = f"{work_dir(spark, _own_folder)}/stored-feed-{uuid.uuid4().hex}"
+    batches = data.feed_batches(spark, sf_dir)
+    captured = F.to_date("ingested_at")
+    first, last = data.feed_captures(spark, sf_dir).agg(F.min(captured), F.max(captured)).first()
+    loads = (last - first).days // DAYS_PER_LOAD + 1 if first else 0
+    for batch in range(loads):
+        days = F.datediff(captured, F.lit(first))
+        rows = batches.filter((days >= batch * DAYS_PER_LOAD) & (days < (batch + 1) * DAYS_PER_LOAD))
+        refresh.load_feed_batch(spark, root, batch, rows)
+    if merge:
+        pending = tables.Batch(spark, root, "feed", loads)
+        pending.merge("feed")
+        pending.commit()
+    return root, loads - 1 + merge
+
+
+def _state(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    return tables.state(spark, root, "feed", batch)
+
+
+def stored_feed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed table after all loads, merged as it is read."""
+    return _state(spark, *_stored_feed(spark, sf_dir))
+
+
+def stored_feed_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table after all its buckets were merged into bases."""
+    return _state(spark, *_stored_feed(spark, sf_dir, merge=True))
+
+
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions that the loads left, open and closed."""
+    return tables.whole_history(spark, *_stored_feed(spark, sf_dir))
+
+
+def stored_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation fact after all loads, from the day folders that the last commit names."""
+    return tables.observations(spark, *_stored_feed(spark, sf_dir))
+
+
 def event_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliability.event_lifecycle(scd2_history(spark, sf_dir), feed_staging(spark, sf_dir))
 
@@ -289,6 +347,10 @@ QUERIES: dict[str, Query] = {
     "scd2_history": scd2_history,
     "scd2_incremental": scd2_incremental,
     "event_observations": event_observations,
+    "stored_feed_state": stored_feed_state,
+    "stored_feed_merged": stored_feed_merged,
+    "stored_history": stored_history,
+    "stored_observations": stored_observations,
     "event_lifecycle": event_lifecycle,
     "event_lifecycle_utc": event_lifecycle_utc,
     "source_reliability": source_reliability,

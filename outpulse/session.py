@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,17 +30,17 @@ def build_session(app_name: str = "outpulse", master: str | None = None, **setti
     return builder.getOrCreate()
 
 
-def work_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder for intermediate tables: the cluster's checkpoint folder, else the caller's fallback.
+def work_dir(spark: SparkSession, fallback: Callable[[], str] | None = None) -> str:
+    """The shared folder for stored tables: the cluster's checkpoint folder, else the caller's fallback.
 
-    A machine-local folder is never picked silently: executors on other machines could not read it.
+    A machine-local folder is only for sessions whose executors run in this process.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured
-    if fallback is None:
-        raise ValueError(f"{CHECKPOINT_SETTING} is not set; pass a folder that every executor can reach")
-    return os.fspath(fallback)
+    if fallback is None or not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_SETTING} is not set; name a folder there that every executor can reach")
+    return fallback()
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ observation fact names a folder per day, and a batch replaces the days that it t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +68,18 @@ class Batch:
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Add ``rows``, a key at most once, and merge the buckets that are due."""
         meta = self.content["tables"].get(name) or keyed.new(self.buckets)
-        place = self.root, name
-        meta, counts = keyed.append(*place, meta, self.declared(name), rows, KEYS[name], self.batch)
-        due = keyed.due(meta)
-        meta = keyed.compact(self.spark, *place, meta, self.declared(name), KEYS[name], self.batch, due)
+        meta, counts = keyed.append(self.root, name, meta, self.declared(name), rows, KEYS[name], self.batch)
         self.content["tables"][name] = meta
         self.content["counts"][name] = counts
+        self.merge(name, keyed.due(meta))
+
+    def merge(self, name: str, buckets: Sequence[str] | None = None) -> None:
+        """Merge ``buckets`` of a keyed table into new bases; all that have deltas where none are named."""
+        meta = self.content["tables"][name]
+        chosen = keyed.due(meta, share=0.0) if buckets is None else buckets
+        self.content["tables"][name] = keyed.compact(
+            self.spark, self.root, name, meta, self.declared(name), KEYS[name], self.batch, chosen
+        )
 
     def folder(self, name: str, df: DataFrame, **metrics: Column) -> DataFrame:
         """``df`` written to a folder that the commit names, and read back. ``metrics`` are taken from the rows as they

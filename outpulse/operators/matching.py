@@ -5,7 +5,7 @@ A request is never paired with every candidate. The work goes through three redu
 * requests that ask for the same thing share one *profile*, and profiles with the same hard constraints one *scope*;
 * candidates that no profile of a scope can tell apart (same confidence, same tags, same place) form a *cell*, of
   which only the first few by id can ever be chosen, so a cell keeps no more than that;
-* a histogram of totals per profile gives a total below which nothing is chosen.
+* a cell that ten others of a profile beat is left out before its events are unfolded.
 
 Scopes meet candidates through an equality join on category and date, profiles meet cells through one on scope and
 area. Beyond the proximity radius a place makes no difference to the score, so there a scope has one *far* cell for all
@@ -16,6 +16,7 @@ copies of an event exist, they end in one cell.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -178,12 +179,97 @@ def _in_scope(events: DataFrame, scopes: DataFrame) -> DataFrame:
     return pairs.filter(satisfies())
 
 
+#: The thresholds that wishes set, by the measure of an event that they bound.
+THRESHOLDS = {"cost": "max_cost", "start_seconds": "after_seconds", "duration_hours": "hours_free"}
+ROUTE = ["route_category", "route_date"]
+
+
+def _shifted(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", value, bits)
+
+
+def _below(values: Column, levels: Column, wanted: Column) -> Column:
+    """How many of the sorted ``values`` are below ``wanted``: a binary search in steps of halving size."""
+    steps = F.transform(F.sequence(levels, F.lit(0), F.lit(-1)), lambda level: F.call_function("shiftleft", F.lit(1).cast("bigint"), level))
+    reaches = lambda n: (n <= F.size(values)) & (F.get(values, (n - 1).cast("int")) < wanted)
+    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda found, step: F.when(reaches(found + step), found + step).otherwise(found))
+
+
+def _even_blocks(levels: Column, number: Callable[[Column], Column]) -> Column:
+    """The blocks of doubling size with an even number, by level. Blocks of a prefix are always such."""
+    every = F.transform(F.sequence(F.lit(0), levels), lambda level: F.struct(level.alias("level"), number(level).alias("number")))
+    return F.filter(every, lambda block: block["number"] % 2 == 0)
+
+
 def feasible_counts(wishes: DataFrame, events: DataFrame) -> DataFrame:
-    """``(request_id, feasible_events)``. Counting happens per scope, so no request meets any candidate."""
+    """``(request_id, feasible_events)``, without pairing any scope with any event.
+
+    Every bound of a scope is a prefix of the sorted thresholds of its kind, so an event is only known by its place among
+    them: events fold into classes, and there are no more classes than combinations of thresholds. A prefix is made of
+    blocks of doubling size, at most one of each size. Classes are counted per block of each measure, and a scope adds the
+    counts of its blocks, which it finds by equality.
+    """
     scopes = wishes.select("scope_key", *CONSTRAINTS, "origin_known").distinct()
-    per_scope = _in_scope(events, scopes).groupBy("scope_key").agg(F.count(F.lit(1)).alias("feasible_events"))
-    counted = _by_request(wishes.select("request_id", "scope_key"), per_scope, "scope_key", is_small(scopes), "left")
-    return counted.select("request_id", F.coalesce("feasible_events", F.lit(0)).cast("bigint").alias("feasible_events"))
+    # One row: the sorted thresholds of every kind, as many as wishes tell apart.
+    limits = F.broadcast(scopes.agg(*[F.array_sort(F.collect_set(name)).alias(f"all_{name}") for name in THRESHOLDS.values()]))
+    sizes = {name: F.size(f"all_{name}") for name in THRESHOLDS.values()}
+    # Places run from 0 to the number of thresholds; that many levels make one block of them all.
+    levels = {name: F.ceil(F.log2(size + 1)).cast("int") for name, size in sizes.items()}
+
+    def events_place(measure: str, name: str) -> Column:
+        value, size = F.col(measure), sizes[name]
+        below = _below(F.col(f"all_{name}"), levels[name], value)
+        if measure == "start_seconds":
+            # A start is late enough for the thresholds up to it, so its place is counted from the end.
+            below = size - below - F.array_contains(f"all_{name}", value).cast("int")
+        # An unknown end is short enough for all, an unknown price or start never good enough.
+        return F.when(value.isNull(), F.lit(0) if measure == "duration_hours" else size).otherwise(below)
+
+    def scopes_length(name: str) -> Column:
+        """How many places a scope's bound takes in, from the first on."""
+        given = F.array_position(f"all_{name}", F.col(name)).cast("bigint")
+        if name == "after_seconds":
+            given = sizes[name] - given + 1
+        return F.when(F.col(name).isNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), levels[name])).otherwise(given)
+
+    names = list(THRESHOLDS.values())
+    located = events.join(limits).select(
+        _exact(F.col("category_key")).alias("category"),
+        _exact(F.col("start_date")).alias("date"),
+        "solo_ok",
+        *[events_place(measure, name).cast("bigint").alias(name) for measure, name in THRESHOLDS.items()],
+        *[levels[name].alias(f"levels_{name}") for name in names],
+    )
+    level_columns = [f"levels_{name}" for name in names]
+    classes = located.groupBy("category", "date", "solo_ok", *names, *level_columns).agg(F.count(F.lit(1)).alias("n"))
+    routes = [
+        F.struct(c.alias("route_category"), d.alias("route_date"))
+        for c in (F.col("category"), F.lit(ANY))
+        for d in (F.col("date"), F.lit(ANY))
+    ]
+    offered = classes.select("solo_ok", *names, *level_columns, "n", F.inline(F.array(*routes)))
+    offered = offered.withColumn("solo_required", F.explode(F.when(F.col("solo_ok"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    for name in names:
+        place = F.col(name)
+        offered = offered.withColumn(name, F.explode(_even_blocks(F.col(f"levels_{name}"), lambda level: _shifted(place, level))))
+    blocks = [*ROUTE, "solo_required", *names]
+    counted = offered.groupBy(*blocks).agg(F.sum("n").alias("n"))
+
+    taken = scopes.join(limits).select(
+        "scope_key",
+        F.coalesce(_exact(F.col("category_key")), F.lit(ANY)).alias("route_category"),
+        F.coalesce(_exact(F.col("date")), F.lit(ANY)).alias("route_date"),
+        "solo_required",
+        *[scopes_length(name).alias(name) for name in names],
+        *[levels[name].alias(f"levels_{name}") for name in names],
+    )
+    for name in names:
+        # The bits of a length are the sizes of its blocks.
+        length = F.col(name)
+        taken = taken.withColumn(name, F.explode(_even_blocks(F.col(f"levels_{name}"), lambda level: _shifted(length, level) - 1)))
+    per_scope = taken.join(counted, blocks).groupBy("scope_key").agg(F.sum("n").alias("feasible_events"))
+    counts = _by_request(wishes.select("request_id", "scope_key"), per_scope, "scope_key", is_small(scopes), "left")
+    return counts.select("request_id", F.coalesce("feasible_events", F.lit(0)).cast("bigint").alias("feasible_events"))
 
 
 def _by_request(requests: DataFrame, grouped: DataFrame, key: str, small: bool, how: str) -> DataFrame:
@@ -260,52 +346,36 @@ def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ra
         # Finding the hot scopes takes a pass of its own over the cells.
         cells = settle(cells)
 
-    def scored(sought: DataFrame) -> DataFrame:
-        """The cells that each profile meets, with the components of the score. A far cell has no proximity."""
-        keys = ["scope_key", "area"]
-        seeking = sought.withColumn("area", F.explode(areas))
-        if few:
-            pairs = cells.join(F.broadcast(seeking), keys)
-        else:
-            pairs = salted_join(cells, seeking, keys, spread_by=["lat", "lon", "confidence", "tags"], how="inner")
-        parts = [F.col("confidence"), F.col("proximity"), F.col("vibe")]
-        miles = haversine_miles(F.col("origin_lat"), F.col("origin_lon"), F.col("lat"), F.col("lon"))
-        closeness = scoring.proximity(F.col("distance"), F.col("origin_known"))
-        return (
-            pairs.withColumn("distance", miles)
-            .withColumns(
-                {
-                    "proximity": F.when(F.col("far"), F.lit(0.0)).otherwise(closeness),
-                    "vibe": scoring.vibe_match(F.col("tags"), F.col("wanted_vibe")),
-                }
-            )
-            .withColumn("_weight", scoring.known_weight(*parts))
-            .withColumn("_percent", scoring.weighted_percent(*parts, F.col("_weight")))
-            .withColumn("total", round_tenth(F.col("_percent")))
-            # A place in a tile around the origin may still be out of reach; then the far cell speaks for it.
-            .withColumn("_counts", ~F.col("near") | (F.col("proximity") > 0))
+    # The cells that each profile meets, with the components of the score. A far cell has no proximity.
+    keys = ["scope_key", "area"]
+    seeking = profiles.withColumn("area", F.explode(areas))
+    if few:
+        pairs = cells.join(F.broadcast(seeking), keys)
+    else:
+        pairs = salted_join(cells, seeking, keys, spread_by=["lat", "lon", "confidence", "tags"], how="inner")
+    parts = [F.col("confidence"), F.col("proximity"), F.col("vibe")]
+    reach = haversine_miles(F.col("origin_lat"), F.col("origin_lon"), F.col("lat"), F.col("lon"))
+    closeness = scoring.proximity(F.col("distance"), F.col("origin_known"))
+    scored = (
+        pairs.withColumn("distance", reach)
+        .withColumns(
+            {
+                "proximity": F.when(F.col("far"), F.lit(0.0)).otherwise(closeness),
+                "vibe": scoring.vibe_match(F.col("tags"), F.col("wanted_vibe")),
+            }
         )
-
-    # An event in reach is in the cell of its place and in a far cell, so the two kinds are not counted together. Each
-    # kind, with the events that have no place, gives a total that the last chosen event cannot be below; the higher
-    # one is taken. Totals have one decimal, so each has at most 1001 of them, whatever the number of cells.
-    kinds = (
-        F.when(F.col("near"), F.when(F.col("_counts"), F.array(F.lit("near"))))
-        .when(F.col("far"), F.array(F.lit("far")))
-        .otherwise(F.array(F.lit("near"), F.lit("far")))
-    )
-    by_total = W.partitionBy("profile_key", "_kind").orderBy(F.desc("total"))
-    floor = (
-        scored(profiles)
-        .select("profile_key", "total", F.size("members").alias("_events"), F.explode_outer(kinds).alias("_kind"))
-        .filter("_kind is not null")
-        .groupBy("profile_key", "_kind", "total")
-        .agg(F.sum("_events").alias("_events"))
-        .withColumn("_reached", F.sum("_events").over(by_total.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .filter(F.col("_reached") >= pool_size)
-        .groupBy("profile_key")
-        .agg(F.max("total").alias("_floor"))
+        .withColumn("_weight", scoring.known_weight(*parts))
+        .withColumn("_percent", scoring.weighted_percent(*parts, F.col("_weight")))
+        .withColumn("total", round_tenth(F.col("_percent")))
+        # A place in a tile around the origin may still be out of reach; then the far cell speaks for it.
+        .withColumn("_counts", ~F.col("near") | (F.col("proximity") > 0))
     )
+
+    # An event in reach is in the cell of its place and in a far cell, whose total is no higher. Cells of one kind hold
+    # different events, so one that ten cells of its kind beat is never chosen. Each map task keeps the best of a profile.
+    # A place in a tile around the origin that is out of reach takes no part; its total is left out of the order instead
+    # of being filtered: a filter would move below the columns of the score and compute each of them many times over.
+    best_first = W.partitionBy("profile_key", "near").orderBy(F.when(F.col("_counts"), F.col("total")).desc_nulls_last())
     entry = F.struct(
         F.row_number().over(W.partitionBy("profile_key").orderBy(F.desc("total"), F.asc("event_id"))).alias("position"),
         "event_id",
@@ -316,9 +386,7 @@ def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ra
         round_tenth(F.col("miles")).alias("distance_miles"),
         percent(F.col("vibe")).alias("vibe_score"),
     )
-    # The comparison decides what is unfolded instead of being a filter: a filter would move below the columns of the
-    # score and compute each of them many times over.
-    chosen = F.when(F.col("_counts") & (F.col("total") >= F.coalesce("_floor", F.lit(0.0))), F.col("members"))
+    chosen = F.when(F.col("_counts"), F.col("members"))
     place = F.split("member.spot", ",")
     miles = haversine_miles(
         F.col("origin_lat"),
@@ -327,7 +395,9 @@ def rank(wishes: DataFrame, events: DataFrame, pool_size: int = POOL_SIZE) -> Ra
         F.get(place, 1).try_cast("double"),
     )
     ranked = (
-        scored(profiles.join(floor, "profile_key", "left"))
+        scored
+        .withColumn("_beaten_by", F.rank().over(best_first))
+        .filter(F.col("_beaten_by") <= pool_size)
         .withColumn("member", F.explode_outer(chosen))
         .filter("member is not null")
         .withColumns({"event_id": F.col("member.event_id"), "miles": miles})

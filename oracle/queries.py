@@ -84,6 +84,20 @@ select case when event_id % 50 = 0 or event_id % 51 = 0 then 'missing_id' when e
 from events where event_id % 50 = 0 or event_id % 51 = 0 or event_id % 40 = 3 or event_id % 60 = 13
 group by all"""
 
+SQL["feed_ids"] = """
+select 't' || event_id as title,
+  case when event_id % 11 = 4 then 'True' when event_id % 11 = 5 then '0' when event_id % 11 = 10 then cast(event_id as varchar)
+    end as source_record_id,
+  case when event_id % 11 in (4, 5, 10) then 'taken' else 'missing_id' end as reason
+from events"""
+
+SQL["display_details"] = """
+select 'evt-' || o_orderkey as event_id,
+  case o_orderkey % 4 when 0 then true when 1 then false else o_orderkey % 3 = 0 or o_orderkey % 5 = 0 end as for_beginners,
+  case when o_orderkey % 17 <> 0 then format('{:g}', cast(o_orderkey % 1000 + 1 as double) / cast(pow(10, o_orderkey % 9) as double)
+    * cast(pow(10, o_orderkey % 13) as double)) end as amount_text
+from orders"""
+
 SQL["feed_first_records"] = f"""
 select source_record_id, title, startdate from (
   select *, {RECORD_FIELDS},

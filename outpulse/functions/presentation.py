@@ -28,15 +28,16 @@ def badges() -> Column:
     return F.array_compact(F.array(category_label(F.col("category")), second))
 
 
-def for_beginners() -> Column:
-    """The stored value, else a look at the title."""
-    return F.coalesce(F.col("beginner_friendly"), F.lower(F.coalesce("title", F.lit(""))).contains("beginner"))
+def for_beginners(source_notes: Column | None = None) -> Column:
+    """The stored value, else a look at the notes of the source, where the row has them, and at the title."""
+    said = F.concat_ws(" ", F.lit(None) if source_notes is None else source_notes, "title")
+    return F.coalesce(F.col("beginner_friendly"), F.lower(said).contains("beginner"))
 
 
-def tags() -> Column:
+def tags(source_notes: Column | None = None) -> Column:
     return F.array_compact(
         F.array(
-            F.when(for_beginners(), "Beginner friendly"),
+            F.when(for_beginners(source_notes), "Beginner friendly"),
             F.when(F.col("solo_friendly") & _has("solo_focus"), "Great for solo"),
             F.when(_has("social"), "Meet people"),
             F.when(_has("chill"), "Casual"),

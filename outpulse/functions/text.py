@@ -80,14 +80,17 @@ def tag_set(tags: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """A number as text without trailing zeros (``10.5``, ``100``), to six significant digits at most."""
-    magnitude = F.greatest(F.floor(F.log10(F.abs(value))).cast("int"), F.lit(-4))
-    digits = F.when(value == 0, F.lit(0)).otherwise(F.greatest(F.lit(5) - magnitude, F.lit(0)))
-    rounded = F.bround(value.cast("double"), 6)
-    text = F.when(digits >= 6, F.format_string("%.6f", rounded))
-    for places in range(6):
-        text = text.when(digits == places, F.format_string(f"%.{places}f", value.cast("double")))
-    return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")).otherwise(text)
+    """A number as text with six significant digits at most and no trailing zeros (``10.5``, ``100``); from a million up
+    and below a ten-thousandth with an exponent (``1.5e+06``)."""
+    value = value.cast("double")
+    with_exponent = F.format_string("%.5e", value)
+    # The exponent of the rounded number: 999999.9 is a million.
+    exponent = F.regexp_extract(with_exponent, r"e([+-]\d+)$", 1).try_cast("int")
+    # Neither infinite nor unknown values have an exponent.
+    text = F.when((exponent < -4) | (exponent > 5), F.regexp_replace(with_exponent, r"\.?0*e", "e"))
+    for places in range(10):
+        text = text.when(exponent == 5 - places, F.format_string(f"%.{places}f", value))
+    return F.when(text.contains(".") & ~text.contains("e"), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
 def category_label(category: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outpulse.clock import Clock
@@ -45,6 +45,11 @@ def serving_view(candidates: DataFrame) -> DataFrame:
     ).withColumn("cost", F.col("price_amount").cast("double")).drop("price_amount")
 
 
+def _if_there(candidates: DataFrame, name: str, kind: str) -> Column:
+    """A column that a mart need not have: what was not written is unknown."""
+    return F.col(name) if name in candidates.columns else F.lit(None).cast(kind).alias(name)
+
+
 def score_pools(
     requests: DataFrame, candidates: DataFrame, zips: DataFrame, clock: Clock, reused: bool = False
 ) -> DataFrame:
@@ -90,7 +95,8 @@ def explained(
         F.col("source_last_checked").alias("source_verified_date"),
         "image_url",
         "vibe_tags",
-        "beginner_friendly",
+        _if_there(candidates, "beginner_friendly", "boolean"),
+        _if_there(candidates, "source_notes", "string"),
         "channel_type",
         "update_cadence",
     )
@@ -131,7 +137,7 @@ def explained(
                 "explanation": presentation.explanation(),
                 "category_label": presentation.category_label(F.col("category")),
                 "badges": presentation.badges(),
-                "tags": presentation.tags(),
+                "tags": presentation.tags(F.col("source_notes")),
                 "estimated_transit_minutes": presentation.transit_minutes(F.col("distance_miles")),
                 "duration_minutes": presentation.duration_minutes(F.col("start_time"), F.col("end_time")),
             }

@@ -93,6 +93,13 @@ def feed_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def feed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of records whose id is any JSON value, or why there is none."""
+    rows, rejects = landed.parse_records(data.records_of_any_id(spark, sf_dir), CLOCK.now_utc())
+    known = rows.select("title", "source_record_id", F.lit("taken").alias("reason"))
+    return known.unionByName(rejects.select(F.get_json_object("raw_payload", "$.title").alias("title"), F.lit(None).cast("string").alias("source_record_id"), "reason"))
+
+
 def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rejects = landed.parse_records(data.landed_records(spark, sf_dir), CLOCK.now_utc())
     return landed.reject_counts(rejects)
@@ -305,6 +312,16 @@ def cost_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def display_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginner tag of events with and without a stored value, and amounts of very different size as text."""
+    rows = data.display_rows(spark, sf_dir)
+    return rows.select(
+        "event_id",
+        presentation.for_beginners(F.col("source_notes")).alias("for_beginners"),
+        text.plain_number(F.col("amount")).alias("amount_text"),
+    )
+
+
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assertion of the pipeline over the tables that the test data gives.
 
@@ -339,6 +356,7 @@ QUERIES: dict[str, Query] = {
     "category_counts": category_counts,
     "feed_parse_json": feed_parse_json,
     "feed_rejects": feed_rejects,
+    "feed_ids": feed_ids,
     "feed_first_records": feed_first_records,
     "validation_report": validation_report,
     "lookup_evolved": lookup_evolved,
@@ -364,5 +382,6 @@ QUERIES: dict[str, Query] = {
     "favorites_apply": favorites_apply,
     "organization_list": organization_list,
     "cost_labels": cost_labels,
+    "display_details": display_details,
     "quality_report": quality_report,
 }

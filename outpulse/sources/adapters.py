@@ -201,6 +201,27 @@ def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records_of_any_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a JSON record whose id is a text, a number, a flag, a container or nothing."""
+    return table(spark, sf_dir, "events").selectExpr(
+        """concat('{"title": "t', event_id, '"', case event_id % 11 when 0 then '' else concat(', "guid": ',
+             case event_id % 11 when 1 then '0' when 2 then '0.0' when 3 then 'false' when 4 then 'true' when 5 then '"0"'
+               when 6 then 'null' when 7 then '""' when 8 then '[]' when 9 then '{}' else cast(event_id as string) end) end,
+             '}') as raw_payload"""
+    )
+
+
+def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as shown events: a stored beginner flag, notes and titles that say so or not, amounts from tiny to huge."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('evt-', o_orderkey) as event_id",
+        "case o_orderkey % 4 when 0 then true when 1 then false end as beginner_friendly",
+        "case o_orderkey % 3 when 0 then 'For BEGINNERS too' when 1 then 'Bring shoes' end as source_notes",
+        "case o_orderkey % 5 when 0 then 'Beginner class' when 1 then 'Open class' end as title",
+        "case when o_orderkey % 17 <> 0 then cast(o_orderkey % 1000 + 1 as double) / cast(power(10, o_orderkey % 9) as double) * cast(power(10, o_orderkey % 13) as double) end as amount",
+    )
+
+
 def raw_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curated events as text cells, some required ones blank and some dates malformed."""
     return table(spark, sf_dir, "orders").selectExpr(

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from outpulse.functions.geo import parse_position
 from outpulse.operators.validate import split_bad
 
-# The fields of a record that are used. Links come as an object with a url, or as a bare string.
-RECORD = """guid string, title string, startdate string, enddate string, starttime string, endtime string,
+# The fields of a record that are used. An id comes as any JSON value, links as an object with a url or a bare string.
+RECORD = """guid variant, title string, startdate string, enddate string, starttime string, endtime string,
  location string, parknames string, categories string, link variant, registration_url variant, coordinates string,
  description string"""
 
@@ -67,6 +67,18 @@ def iso_date(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(ISO_DATE), text), basic).try_cast("timestamp_ntz").cast("date")
 
 
+def record_id(value: Column) -> Column:
+    """The id as text; NULL where there is none: null, an empty text or container, zero, or false."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return (
+        F.when(kind == "STRING", F.nullif(text, F.lit("")))
+        .when(kind == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), "True"))
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.when(~F.to_json(value).isin("{}", "[]"), F.to_json(value)))
+        .when(F.try_variant_get(value, "$", "double") != 0, text)
+    )
+
+
 def parse_records(records: DataFrame, ingested_at: Column) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)``: a record without an id or with an unreadable date is set aside, the rest goes on.
 
@@ -74,31 +86,27 @@ def parse_records(records: DataFrame, ingested_at: Column) -> tuple[DataFrame, D
     """
     arrival = [ARRIVAL] if ARRIVAL in records.columns else []
     # Unfolding the one parsed record keeps the parsing in a step of its own. As a plain column it would be repeated
-    # inside every filter on one of its fields.
-    parsed = records.select(
+    # inside every filter on one of its fields. The same goes for ids and dates, which rows and rejects both need.
+    texts = records.select(
         "raw_payload",
         *arrival,
         ingested_at.cast("timestamp_ntz").alias("ingested_at"),
         F.inline(F.array(F.from_json("raw_payload", RECORD))),
     )
+    dates = ["startdate", "enddate"]
+    read = F.struct(record_id(F.col("guid")).alias("id"), *[iso_date(F.col(name)).alias(f"{name}_read") for name in dates])
+    parsed = texts.select("*", F.inline(F.array(read))).withColumn("guid", F.col("id"))
 
     def unreadable(name: str) -> Column:
-        return (F.trim(name) != "") & iso_date(F.col(name)).isNull()
-
-    good, rejects = split_bad(
-        parsed,
-        {
-            "missing_id": F.coalesce("guid", F.lit("")) == "",
-            "bad_startdate": unreadable("startdate"),
-            "bad_enddate": unreadable("enddate"),
-        },
-    )
+        return (F.trim(name) != "") & F.col(f"{name}_read").isNull()
+
+    problems = {"missing_id": F.col("id").isNull(), **{f"bad_{name}": unreadable(name) for name in dates}}
+    good, rejects = split_bad(parsed, problems)
     lat, lon = parse_position(F.col("coordinates"))
     rows = good.select(
-        F.col("guid").alias("source_record_id"),
+        F.col("id").alias("source_record_id"),
         "title",
-        iso_date(F.col("startdate")).alias("startdate"),
-        iso_date(F.col("enddate")).alias("enddate"),
+        *[F.col(f"{name}_read").alias(name) for name in dates],
         "starttime",
         "endtime",
         "location",

@@ -25,13 +25,14 @@ _shipped: set[str] = set()
 _own_folders: dict[str, str] = {}
 
 
-#: Rows that a Python worker gets at a time. Whole documents are long rows.
-BATCH_ROWS = 1_000
+#: Rows and bytes that a Python worker gets at a time. Whole documents are long rows; one longer than this comes alone.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once, so that their Python workers can import it, and bounds their batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return

@@ -44,33 +44,59 @@ def _report(counts: DataFrame, table: str, checks: Sequence[tuple[str, str]]) ->
     return counts.select(F.inline(F.array(*rows)))
 
 
-def check_table(df: DataFrame, table: str, expected: Expectations) -> DataFrame:
-    """All checks of one table.
+def _key_text(key: Sequence[str]) -> Column:
+    """A key as one text, NULL when a part of it is unknown."""
+    if len(key) == 1:
+        return F.col(key[0]).cast("string")
+    known = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in key])
+    return F.when(known, F.to_json(F.struct(*key)))
+
+
+def check_tables(tables: dict[str, tuple[DataFrame, Expectations]]) -> DataFrame:
+    """All checks of all tables, every table read once and all of them shuffled together, once.
 
-    The rows are read once: they are counted per value of the first unique key, with the failures of all row checks
-    beside, and then summed. Both steps combine before they shuffle, so repeated keys cost nothing extra. Any further
-    unique key takes a pass over its own columns. A uniqueness failure is a repeated key, and unknown keys do not
-    count.
+    A row becomes one tagged row per unique key of its table, the first with the row's failures beside it. Rows are
+    counted per table and key, failures with them, and then summed per table. Both steps combine before they shuffle,
+    so repeated keys cost nothing extra. A uniqueness failure is a repeated key, and unknown keys do not count.
     """
-    checks = _row_checks(expected)
-    failures = [F.count_if(condition).alias(f"r{i}") for i, (_, _, condition) in enumerate(checks)]
-    totals = [F.sum(f"r{i}").alias(f"c{i}") for i in range(len(checks))]
-    names = [(check, column) for check, column, _ in checks]
-
-    def repeated(key: Sequence[str]) -> Column:
-        known = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in key])
-        return F.count_if((F.col("_n") > 1) & known)
-
-    if not expected.unique:
-        return _report(df.agg(*failures).agg(*totals), table, names)
-    first, *others = expected.unique
-    per_key = df.groupBy(*first).agg(F.count(F.lit(1)).alias("_n"), *failures)
-    counted = per_key.agg(*totals, repeated(first).alias(f"c{len(checks)}"))
-    report = _report(counted, table, [*names, ("unique", ",".join(first))])
-    for key in others:
-        again = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(repeated(key).alias("c0"))
-        report = report.unionByName(_report(again, table, [("unique", ",".join(key))]))
-    return report
+    checks = {name: _row_checks(expected) for name, (_, expected) in tables.items()}
+    width = max(map(len, checks.values()), default=0)
+    slots = [f"f{i}" for i in range(width)]
+    parts, asked = [], []
+    for number, (name, (df, expected)) in enumerate(tables.items()):
+        conditions = [condition for *_, condition in checks[name]]
+        flags = [F.when(condition, 1).otherwise(0) for condition in conditions]
+        flags += [F.lit(0)] * (width - len(flags))
+        tagged = []
+        for place, key in enumerate(expected.unique or [()]):
+            counted = flags if place == 0 else [F.lit(0)] * width
+            tagged.append(
+                F.struct(
+                    F.lit(number).alias("table_no"),
+                    F.lit(place).alias("key_no"),
+                    (_key_text(key) if key else F.lit(None).cast("string")).alias("key"),
+                    *[flag.alias(slot) for flag, slot in zip(counted, slots)],
+                )
+            )
+        parts.append(df.select(F.inline(F.array(*tagged))))
+        asked += [(number, 0, slots[i], name, check, column) for i, (check, column, _) in enumerate(checks[name])]
+        asked += [(number, place, "repeated", name, "unique", ",".join(key)) for place, key in enumerate(expected.unique)]
+    rows = reduce(DataFrame.unionByName, parts)
+    per_key = rows.groupBy("table_no", "key_no", "key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in slots])
+    repeated = F.count_if((F.col("n") > 1) & F.col("key").isNotNull()).alias("repeated")
+    summed = per_key.groupBy("table_no", "key_no").agg(repeated, *[F.sum(s).alias(s) for s in slots])
+    told = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("failing_rows")) for s in [*slots, "repeated"]])
+    found = summed.select("table_no", "key_no", F.inline(told))
+    spark = rows.sparkSession
+    listed = spark.createDataFrame(asked, "table_no int, key_no int, slot string, table_name string, check_name string, column_name string")
+    # One row per table, key and check on either side. A table without rows has nothing that fails.
+    joined = listed.join(F.broadcast(found), ["table_no", "key_no", "slot"], "left")
+    return joined.select("table_name", "check_name", "column_name", F.coalesce("failing_rows", F.lit(0)).cast("bigint").alias("failing_rows"))
+
+
+def check_table(df: DataFrame, table: str, expected: Expectations) -> DataFrame:
+    """All checks of one table."""
+    return check_tables({table: (df, expected)})
 
 
 def check_reference(child: DataFrame, table: str, column: str, parent: DataFrame, parent_column: str) -> DataFrame:

@@ -13,7 +13,7 @@ from outpulse.operators.quality import (
     Expectations,
     check_against_feed,
     check_reference,
-    check_table,
+    check_tables,
     union_reports,
 )
 from outpulse.plans import staging
@@ -143,7 +143,7 @@ def quality_report(tables: Tables, clock: Clock) -> DataFrame:
             ),
         ),
     }
-    reports = [check_table(df, name, expected) for name, (df, expected) in simple.items()]
+    reports = [check_tables(simple)]
     reports.append(check_reference(tables.curated, "events", "source_id", tables.sources, "source_id"))
     reports.append(check_against_feed(tables.candidates, "candidates", staged_events, staged_sources))
     return union_reports(reports)

@@ -329,8 +329,9 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     versions = settle(scd2_history(spark, sf_dir))
     lifecycle = settle(reliability.event_lifecycle(versions, feed_staging(spark, sf_dir)))
-    observed = history.observe(data.feed_batches(spark, sf_dir))
-    tables = quality.Tables(
+    observed = settle(history.observe(data.feed_batches(spark, sf_dir)))
+    enriched = settle(_enriched(spark, sf_dir))
+    checked = quality.Tables(
         sources=data.sources(spark, sf_dir),
         curated=data.curated_events(spark, sf_dir),
         feed=data.feed_now(spark, sf_dir),
@@ -338,12 +339,12 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         history=versions,
         lifecycle=lifecycle,
         observations=observed,
-        enriched=_enriched(spark, sf_dir),
-        candidates=settle(candidate_mart(spark, sf_dir)),
+        enriched=enriched,
+        candidates=marts.candidates(enriched, CLOCK),
         organizations=organizations(spark, sf_dir),
         reliability=reliability.source_reliability(lifecycle, observed, synthetic_source(spark, sf_dir)),
     )
-    return quality.quality_report(tables, CLOCK)
+    return quality.quality_report(checked, CLOCK)
 
 
 QUERIES: dict[str, Query] = {

@@ -1,7 +1,8 @@
 """Quality rules with host verdicts.
 
-A document fails by its own rules when it is short or repeats itself. Failures are counted per host, each host's rate is
-shrunk towards a beta prior fitted to all hosts, and hosts whose shrunken rate stays high lose all their documents.
+A document fails by its own rules when it is short, repeats itself or is full of symbols. Failures are counted per host,
+each host's rate is shrunk towards a beta prior fitted to all hosts, and a host whose shrunken rate stands out from that
+prior, with most of its documents failing, loses all of them.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outpulse.llm.common import as_bytes
+from outpulse.llm.common import as_bytes, light, written
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: Symbols in percent of word characters beyond which a text is junk, for callers that ask for this rule.
+#: Symbols in percent of word characters beyond which a text is junk.
 MAX_SYMBOL_PERCENT = 10
-#: A host goes when its shrunken failure rate is above this.
-MAX_HOST_RATE = 0.8
+#: A host goes when its shrunken failure rate is this many deviations of the prior above its mean, but never below the
+#: first of these rates and always above the second.
+HOST_DEVIATIONS, HOST_RATES = 3, (0.5, 0.8)
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _FEATURES = T.StructType([T.StructField(name, T.LongType()) for name in MEASURES])
@@ -83,7 +85,7 @@ def junk(n_symbols: Column, word_chars: Column, max_percent: int) -> Column:
     return 100 * n_symbols > max_percent * word_chars
 
 
-def host_verdicts(flags: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(flags: DataFrame) -> DataFrame:
     """One row per host of ``flags(host, failed)``: documents, failures, shrunken rate, verdict.
 
     The prior is a beta distribution with the mean and variance of the hosts' own rates (method of moments, one vote a
@@ -99,36 +101,34 @@ def host_verdicts(flags: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     moments = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"))
     strength = F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1
     usable = strength > 0
+    outstanding = F.col("m") + HOST_DEVIATIONS * F.sqrt(F.coalesce("v", F.lit(0.0)))
     prior = moments.select(
+        F.least(F.greatest(outstanding, F.lit(HOST_RATES[0])), F.lit(HOST_RATES[1])).alias("max_rate"),
         F.when(usable, F.col("m") * strength).otherwise(1.0).alias("alpha"),
         F.when(usable, (1 - F.col("m")) * strength).otherwise(1.0).alias("beta"),
     )
     shrunk = (F.col("host_failed") + F.col("alpha")) / (F.col("host_docs") + F.col("alpha") + F.col("beta"))
     # The prior is one row, an aggregate without keys.
     rated = hosts.join(F.broadcast(prior)).withColumn("host_rate", shrunk)
-    return rated.select("host", "host_docs", "host_failed", "host_rate", (F.col("host_rate") > max_rate).alias("host_rejected"))
+    return rated.select("host", "host_docs", "host_failed", "host_rate", (F.col("host_rate") > F.col("max_rate")).alias("host_rejected"))
 
 
-def judge(
-    docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE, max_symbol_percent: int | None = None
-) -> DataFrame:
-    """``docs`` as struct column ``doc``, with the rule measures, ``base_failed``, ``host_rejected`` and ``kept``.
+def judge(docs: DataFrame, text: str = "text", host: str = "source", max_symbol_percent: int = MAX_SYMBOL_PERCENT) -> DataFrame:
+    """``docs`` as struct column ``doc``, with the rule measures, ``base_failed``, ``junk``, ``host_rejected`` and ``kept``.
 
     Any number of rows and columns, whatever their names. A null or empty text has no words and fails. Repeated rows are
-    judged alike and each counts for its host. A null host is never rejected. Texts are measured whole. With
-    ``max_symbol_percent``, texts of more symbols fail too and count for their hosts; the SQL of op9 has no such rule.
+    judged alike and each counts for its host. A null host is never rejected. Texts are measured whole. A document that
+    fails by length, repetition or symbols counts for its host.
 
-    Only counts per host are shuffled. Rejected hosts alone are joined back; Spark broadcasts them when they are few and
-    splits the rows of a frequent host otherwise.
+    Only counts per host are shuffled. Rejected hosts alone are written and joined back, broadcast while they are few.
     """
     measured = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), features(F.col(text)).alias("f"))
-    failed = fails(F.col("f.n_words"), F.col("f.n_repeat_words"))
-    if max_symbol_percent is not None:
-        failed |= junk(F.col("f.n_symbols"), F.col("f.word_chars"), max_symbol_percent)
-    measured = measured.select("doc", "f.*", failed.alias("base_failed"))
-    flags = measured.select(F.col(f"doc.`{host}`").alias("host"), F.col("base_failed").alias("failed"))
-    rejected = host_verdicts(flags, max_host_rate).filter("host_rejected").select("host", "host_rejected")
+    base_failed = fails(F.col("f.n_words"), F.col("f.n_repeat_words")).alias("base_failed")
+    too_many = junk(F.col("f.n_symbols"), F.col("f.word_chars"), max_symbol_percent).alias("junk")
+    measured = measured.select("doc", "f.*", base_failed, too_many)
+    failed = F.col("base_failed") | F.col("junk")
+    flags = measured.select(F.col(f"doc.`{host}`").alias("host"), failed.alias("failed"))
+    rejected = light(written(host_verdicts(flags).filter("host_rejected").select("host", "host_rejected"), "rejected-hosts"))
     judged = measured.withColumn("host", F.col(f"doc.`{host}`")).join(rejected, "host", "left")
-    return judged.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn(
-        "kept", ~F.col("base_failed") & ~F.col("host_rejected")
-    )
+    judged = judged.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    return judged.withColumn("kept", ~failed & ~F.col("host_rejected"))

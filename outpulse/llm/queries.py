@@ -188,15 +188,16 @@ base AS (
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM split s JOIN lines USING (doc_id) LEFT JOIN covered c USING (doc_id)),
-judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * word_chars AS junk FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR junk) AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
 moments AS (SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 END AS strength FROM moments),
+prior AS (SELECT m, least(greatest(m + 3 * sqrt(coalesce(v, 0)), 0.5), 0.8) AS max_rate, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 END AS strength FROM moments),
 rejected AS (
   SELECT source FROM hosts, prior
-  WHERE (f + coalesce(m * strength, 1)) / (n + coalesce(m * strength, 1) + coalesce((1 - m) * strength, 1)) > 0.8)
+  WHERE (f + coalesce(m * strength, 1)) / (n + coalesce(m * strength, 1) + coalesce((1 - m) * strength, 1)) > max_rate)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM rejected)) AS kept
+       NOT base_failed AND NOT junk AND (source IS NULL OR source NOT IN (SELECT source FROM rejected)) AS kept
 FROM judged
 """
 

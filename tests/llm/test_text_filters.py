@@ -224,3 +224,13 @@ def test_junk_is_not_kept(as_table):
 def test_perplexity_of_no_documents(as_table):
     docs = as_table([], "doc_id bigint, text string, lang string")
     assert perplexity.classify(docs, as_table([(1, 1, 0)], "doc_id bigint, quality int, toxic int", "l")).count() == 0
+
+
+def test_a_host_that_stands_out_goes_and_junk_counts(as_table):
+    good, junk = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}$$%" for i in range(60))
+    rows = [(100 * h + i, "short" if i < 3 else good, f"h{h}", "x", 1) for h in range(20) for i in range(30)]
+    rows += [(5000 + i, junk if i < 24 else good, "odd", "x", 1) for i in range(30)] + [(9000, junk, "h0", "x", 1)]
+    got = {r.doc_id: r for r in quality_rules.judge(as_table(rows, DOCS)).select("doc.doc_id", "base_failed", "junk", "host_rejected", "kept").collect()}
+    assert not got[5029].kept and got[5029].host_rejected and not got[5029].base_failed
+    assert got[9000].junk and not got[9000].kept and not got[9000].base_failed
+    assert all(got[100 * h + i].kept for h in range(20) for i in range(3, 30)), "hosts that are much alike stay"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from outpulse.clock import to_local
 from outpulse.functions.text import is_cancelled_title
 from outpulse.operators.history import KEY
+from outpulse.operators.selection import exact_median
 from outpulse.plans.staging import DEFAULT_FEED, FeedProfile
 
 
@@ -87,7 +88,7 @@ def source_reliability(
     """One row per machine feed in ``feeds`` (``source_id, source_name``), also for a feed without any history.
 
     Both inputs are reduced to one row per feed before they meet, on the feed's id. Inputs without a ``source_id``
-    belong to ``profile``. The median is exact: it merges counts per distinct lead time, of which there are few.
+    belong to ``profile``. The median is exact, and looked for in a range of lead times (``selection``).
     """
 
     def labelled(df: DataFrame) -> DataFrame:
@@ -113,7 +114,6 @@ def source_reliability(
             F.count_if("was_rescheduled").alias("_rescheduled"),
             F.count_if("was_relocated").alias("_relocated"),
             F.sum("version_count").alias("_versions"),
-            F.percentile("cancellation_lead_hours", 0.5).alias("median_cancellation_lead_hours"),
             F.min("cancellation_lead_hours").alias("min_cancellation_lead_hours"),
         )
     )
@@ -125,7 +125,11 @@ def source_reliability(
         "reschedules_observed": "_rescheduled",
         "relocations_observed": "_relocated",
     }
-    joined = feeds.select("source_id", "source_name").join(events, "source_id", "left").join(observed, "source_id", "left")
+    median = exact_median(labelled(lifecycle), "source_id", "cancellation_lead_hours")
+    median = median.withColumnRenamed("median", "median_cancellation_lead_hours")
+    joined = feeds.select("source_id", "source_name")
+    for part in (events, observed, median):
+        joined = joined.join(part, "source_id", "left")
     average = F.col("_versions").cast("decimal(20,0)") / F.col("_tracked").cast("decimal(20,0)")
     return joined.select(
         "source_id",

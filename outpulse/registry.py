@@ -256,13 +256,14 @@ def request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _results(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFrame:
+def _results(spark: SparkSession, sf_dir: str, mart: DataFrame | None = None) -> DataFrame:
+    """The results over a mart; over one that is given, for a plan that reads them repeatedly."""
     return recommendations.top_results(
         data.requests(spark, sf_dir),
-        candidate_mart(spark, sf_dir),
+        candidate_mart(spark, sf_dir) if mart is None else mart,
         data.zip_centroids(spark, sf_dir),
         CLOCK,
-        reused=reused,
+        reused=mart is not None,
     )
 
 
@@ -278,9 +279,8 @@ def request_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field that is shown for a result; the two lists as text."""
-    shown = recommendations.explained(
-        _results(spark, sf_dir, reused=True), candidate_mart(spark, sf_dir), data.favorites(spark, sf_dir), CLOCK
-    )
+    mart = settle(candidate_mart(spark, sf_dir))
+    shown = recommendations.explained(_results(spark, sf_dir, mart), mart, data.favorites(spark, sf_dir), CLOCK)
     return shown.withColumns({"badges": F.array_join("badges", "|"), "tags": F.array_join("tags", "|")})
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outpulse.llm.common import ROW, as_bytes, numbered, written
+from outpulse.llm.common import ROW, as_bytes, light, numbered, written
 from outpulse.llm.rolling import all_stretches, prefix_hashes, stretches
 
 SIZE = 200
@@ -263,22 +263,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, hot:
     )
     distinct = written(distinct, "distinct-pieces")
     frequent = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor")
-    frequent = written(frequent, "frequent-anchors")
-    if not frequent.isEmpty():
-        # Their windows one by one: equal windows have equal hashes, and one row each is left of any number of copies.
-        of_frequent = shared.join(frequent, "anchor").select(ROW, "start", "windows")
-        single = (
-            texts.join(of_frequent.groupBy(ROW).agg(F.collect_list(F.struct("start", "windows")).alias("stretches")), ROW)
-            .mapInArrow(_single_windows(size), _PIECES_DDL)
-        )
-        single = single.join(single.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchor")
-        shared = written(shared.join(frequent, "anchor", "left_anti").unionByName(single), "pieces")
-        distinct = written(
-            shared.groupBy("anchor", "content").agg(
-                F.count("*").alias("copies"), F.min_by(F.struct(ROW, "start", "windows"), F.struct(ROW, "start")).alias("at")
-            ),
-            "distinct-pieces",
-        )
+    frequent = light(written(frequent, "frequent-anchors"))
+    singly = _window_by_window(texts, distinct.join(frequent, "anchor"), size)
+    distinct = distinct.join(frequent, "anchor", "left_anti")
     total = distinct.agg(F.sum(F.col("at.windows") + size - 1)).first()[0] or 0
     shards = int(max(1, -(-total // SHARD_BYTES)))
     wanted = distinct.groupBy(F.col(f"at.{ROW}").alias(ROW)).agg(
@@ -291,7 +278,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, hot:
         .mapInArrow(_shard_batches(size), _FOUND_DDL)
         .filter(F.size("found") > 0)
     )
-    indexed = written(indexed, "repeated-pieces")
+    indexed = written(indexed.unionByName(singly), "repeated-pieces")
     spans = F.transform(
         F.sequence(F.lit(0), F.size("found") - 2, F.lit(2)),
         lambda i: F.struct(
@@ -302,25 +289,47 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, hot:
     return shared.join(indexed, ["anchor", "content"]).select(ROW, spans.alias("spans"))
 
 
+def _window_by_window(texts: DataFrame, pieces: DataFrame, size: int) -> DataFrame:
+    """``(anchor, content, found)`` of pieces whose anchor has too many different ones for a shard.
+
+    Equal windows have equal hashes. A window counts as often as there are copies of its piece, so that only different
+    pieces are taken apart, and no copy is looked at again.
+    """
+    wanted = pieces.groupBy(F.col(f"at.{ROW}").alias(ROW)).agg(
+        F.collect_list(F.struct("anchor", "content", "copies", "at.start", "at.windows")).alias("pieces")
+    )
+    ddl = "anchor bigint, content bigint, copies bigint, hash bigint, place int"
+    windows = written(texts.join(wanted, ROW).mapInArrow(_single_windows(size), ddl), "single-windows")
+    again = windows.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("hash")
+    again = light(written(again, "repeated-windows"))
+    places = windows.join(again, "hash").groupBy("anchor", "content").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    found = F.flatten(F.transform("places", lambda at: F.array(at, at + 1)))
+    return places.select("anchor", "content", found.alias("found"))
+
+
 def _single_windows(size: int):
+    names = ["anchor", "content", "copies", "hash", "place"]
+
+    def told(pieces: list[dict], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        counts = [len(h) for h in hashes]
+        same = [np.repeat(np.array([p[name] for p in pieces], np.int64), counts) for name in names[:3]]
+        places = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+        return pa.record_batch([pa.array(c) for c in (*same, np.concatenate(hashes), places)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, hashes, held = [], [], 0
         for batch in batches:
-            rows = batch.column(ROW).to_pylist()
-            for row, text, stretches in zip(rows, as_bytes(batch.column("text")), batch.column("stretches").to_pylist()):
-                for s in stretches:
-                    data = np.frombuffer(text[s["start"] : s["start"] + s["windows"] + size - 1], np.uint8)
-                    hashes = all_stretches(prefix_hashes(data), size).view(np.int64)
-                    n = len(hashes)
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.full(n, row)),
-                            pa.array(hashes),
-                            pa.array(hashes),
-                            pa.array(np.arange(n) + s["start"]),
-                            pa.array(np.ones(n, np.int32)),
-                        ],
-                        [ROW, "anchor", "content", "start", "windows"],
-                    )
+            for text, found in zip(as_bytes(batch.column("text")), batch.column("pieces").to_pylist()):
+                for p in found:
+                    data = np.frombuffer(text[p["start"] : p["start"] + p["windows"] + size - 1], np.uint8)
+                    pieces.append(p)
+                    hashes.append(all_stretches(prefix_hashes(data), size).view(np.int64))
+                    held += p["windows"]
+                    if held > BLOCK:
+                        yield told(pieces, hashes)
+                        pieces, hashes, held = [], [], 0
+        if pieces:
+            yield told(pieces, hashes)
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outpulse.session import CHECKPOINT_SETTING
+from outpulse.session import work_dir
 
 ROW = "row_no"
 #: Bits of a row number for the place in the file; those above are for the file.
@@ -22,7 +23,6 @@ BROADCAST_ROWS = 1_000_000
 
 
 _shipped: set[str] = set()
-_own_folders: dict[str, str] = {}
 
 
 #: Rows and bytes that a Python worker gets at a time. Whole documents are long rows; one longer than this comes alone.
@@ -68,15 +68,15 @@ def numbered(df: DataFrame) -> DataFrame:
     return placed.withColumn(ROW, number).drop("scanned_file", "row_in_file", "file_no")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="outpulse-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that all executors reach; a temporary one only where none is set."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder:
-        return folder
-    application = spark.sparkContext.applicationId
-    if application not in _own_folders:
-        _own_folders[application] = tempfile.mkdtemp(prefix="outpulse-")
-    return _own_folders[application]
+    """The folder for intermediate tables that all executors reach. A temporary one only where none is set and executors
+    run on this machine; elsewhere the setting is asked for."""
+    return work_dir(spark, _own_folder)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -27,6 +27,8 @@ EMBEDDED = 8
 #: The training sample: so many documents of each language at most, and so many bytes of each.
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 3000
+#: Segments drawn from the sample for every language at most, so that the time to fit does not depend on the corpus.
+SAMPLE_SEGMENTS = 20_000
 #: Evidence of a position counts this part, as neighbouring positions are not independent.
 TEMPER = 0.2
 #: Distinct segments that a task remembers.
@@ -173,7 +175,7 @@ def train(samples: list[tuple[str, bytes]], epochs: int = 3, batch: int = 256, r
     for language, text in samples:
         by_language[language] += segments_of(text)
     # Every language has the same weight.
-    most = min(20_000, max(map(len, by_language.values())))
+    most = min(SAMPLE_SEGMENTS, max(map(len, by_language.values())))
     segments, labels = [], []
     for number, language in enumerate(languages):
         own = by_language[language]

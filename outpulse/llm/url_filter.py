@@ -13,8 +13,6 @@ WORDS = 8
 #: The filter never has more blocks, so at 64 bytes a block its broadcast stays under 8 MB. A longer list only makes the
 #: filter pass more URLs to the exact join.
 MAX_BLOCKS = 1 << 17
-#: Listed URLs that share a block when the list fits: about 16 bits a URL.
-URLS_PER_BLOCK = 32
 
 
 def host_of(url: Column) -> Column:

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "_commits"
+BATCH_FOLDER = "batch="
 
 
 def _path(root: str, log: str, batch: int) -> str:
@@ -64,6 +66,38 @@ def commit(spark: SparkSession, root: str, log: str, batch: int, content: dict)
 
 def write_folder(df: DataFrame, root: str, name: str, batch: int, *partition_by: str) -> str:
     """``df`` in a folder of its own below the batch; returns its path relative to ``root``. Not live until committed."""
-    folder = f"{name}/batch={batch}/{uuid.uuid4().hex}"
+    folder = f"{name}/{BATCH_FOLDER}{batch}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(f"{root}/{folder}")
     return folder
+
+
+def _named(content: object) -> set[str]:
+    """All folders that a commit names, wherever in it they stand."""
+    if isinstance(content, str):
+        return {content} if f"/{BATCH_FOLDER}" in content else set()
+    values = content.values() if isinstance(content, dict) else content if isinstance(content, list) else ()
+    return set().union(*map(_named, values))
+
+
+def expire(spark: SparkSession, root: str, log: str, names: Sequence[str], keep: int) -> list[str]:
+    """Delete what no reader of the last ``keep`` batches of a log can reach, and the commits before these.
+
+    ``names`` are the tables that the log tells of. Folders of the last batch and later are left alone, as a run may be
+    writing them. Returns the deleted folders, relative to ``root``.
+    """
+    last = last_batch(spark, root, log)
+    first = max(0, last - keep + 1)
+    live = set().union(*(_named(read(spark, root, log, batch)) for batch in range(first, last + 1)))
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    files = hadoop.Path(root).getFileSystem(conf)
+    deleted = []
+    for name in names:
+        for found in files.globStatus(hadoop.Path(f"{root}/{name}/{BATCH_FOLDER}*/*")) or ():
+            folder, batch = found.getPath().getName(), found.getPath().getParent().getName()
+            place = f"{name}/{batch}/{folder}"
+            if place not in live and int(batch.removeprefix(BATCH_FOLDER)) < last:
+                files.delete(found.getPath(), True)
+                deleted.append(place)
+    for batch in range(first):
+        files.delete(hadoop.Path(_path(root, log, batch)), False)
+    return sorted(deleted)

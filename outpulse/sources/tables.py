@@ -166,6 +166,19 @@ def observations(spark: SparkSession, root: str, batch: int | None = None) -> Da
     return _observation_days(spark, root, content.get("observation_days", {}))
 
 
+#: All that the commits of a log name.
+TABLES = {
+    "curated": ["sources", "events"],
+    "feed": ["feed", "open_versions", "closed_versions", "observations", "feed_rows", "feed_rejects", "feed_bad_pages"],
+    "marts": ["candidates", "organizations", "reliability"],
+}
+
+
+def expire(spark: SparkSession, root: str, log: str, keep: int) -> list[str]:
+    """Delete the folders that none of the last ``keep`` batches reads. What earlier batches stood for is gone then."""
+    return commits.expire(spark, root, log, TABLES[log], keep)
+
+
 def batch_folder(spark: SparkSession, root: str, log: str, name: str, batch: int) -> DataFrame:
     """A table that a batch wrote whole, such as its rejects or a mart."""
     return spark.read.parquet(f"{root}/{commits.read(spark, root, log, batch)['folders'][name]}")

@@ -172,6 +172,24 @@ def test_a_draft_is_no_commit(spark, tmp_path):
     assert commits.read(spark, root, "feed", 0) == {"a": 2} and commits.last_batch(spark, root, "none") == -1
 
 
+def test_expired_folders_are_those_that_nobody_reads(spark, tmp_path, feed_frame):
+    root = str(tmp_path)
+    days = random_batches(6, days=3, keys=4)
+    for batch, rows in enumerate(days):
+        refresh.load_feed_batch(spark, root, batch, feed_frame(*rows))
+    # A run of an earlier batch that died, and one of the next batch under way.
+    for batch in (1, 3):
+        commits.write_folder(feed_frame(*days[0]), root, "feed", batch)
+    before = feed_state(spark, root)
+    deleted = tables.expire(spark, root, "feed", keep=1)
+    assert deleted and not any("batch=3/" in folder for folder in deleted)
+    assert any(folder.startswith("feed/batch=1/") for folder in deleted)
+    assert feed_state(spark, root) == before
+    assert tables.expire(spark, root, "feed", keep=1) == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.state(spark, root, "feed", 0)
+
+
 def test_marts_are_published_together(spark, tmp_path, feed_frame, sources, curated, zips, clock, monkeypatch):
     root = str(tmp_path)
     inputs = refresh.Inputs(sources.replace("api", "website", ["channel_type"]), curated, zips)

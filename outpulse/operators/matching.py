@@ -4,7 +4,8 @@ A request is never paired with every candidate. The work goes through three redu
 
 * requests that ask for the same thing share one *profile*, and profiles with the same hard constraints one *scope*;
 * candidates that no profile of a scope can tell apart (same confidence, same tags, same place) form a *cell*, of
-  which only the first few by id can ever be chosen, so a cell keeps no more than that;
+  which only the first few by id can ever be chosen, so a cell keeps no more than that, and neither does a class of
+  candidates that are alike to all scopes, before any scope is met;
 * a cell that ten others of a profile beat is left out before its events are unfolded.
 
 Scopes meet candidates through an equality join on category and date, profiles meet cells through one on scope and
@@ -201,6 +202,40 @@ def _even_blocks(levels: Column, number: Callable[[Column], Column]) -> Column:
     return F.filter(every, lambda block: block["number"] % 2 == 0)
 
 
+def _limits(scopes: DataFrame) -> DataFrame:
+    """One row: the sorted thresholds of every kind, as many as wishes tell apart."""
+    return F.broadcast(scopes.agg(*[F.array_sort(F.collect_set(name)).alias(f"all_{name}") for name in THRESHOLDS.values()]))
+
+
+def _levels(name: str) -> Column:
+    """Places run from 0 to the number of thresholds; that many levels make one block of them all."""
+    return F.ceil(F.log2(F.size(f"all_{name}") + 1)).cast("int")
+
+
+def _place(measure: str) -> Column:
+    """The place of an event among the thresholds of a measure. Equal places satisfy the same scopes."""
+    name = THRESHOLDS[measure]
+    value, size = F.col(measure), F.size(f"all_{name}")
+    below = _below(F.col(f"all_{name}"), _levels(name), value)
+    if measure == "start_seconds":
+        # A start is late enough for the thresholds up to it, so its place is counted from the end.
+        below = size - below - F.array_contains(f"all_{name}", value).cast("int")
+    # An unknown end is short enough for all, an unknown price or start never good enough.
+    return F.when(value.isNull(), F.lit(0) if measure == "duration_hours" else size).otherwise(below).cast("bigint")
+
+
+def _first_of_class(events: DataFrame, scopes: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` events by id of those that satisfy the same scopes and are alike in rank and place.
+
+    No others of a class can be chosen, so what meets the scopes grows with the classes and not with the events.
+    """
+    places = [f"_{name}_place" for name in THRESHOLDS]
+    alike = ["category_key", "start_date", "solo_ok", *places, "confidence_text", "tags_text", "spot"]
+    first = W.partitionBy(*alike).orderBy("event_id")
+    placed = events.join(_limits(scopes)).select(*events.columns, *[_place(name).alias(f"_{name}_place") for name in THRESHOLDS])
+    return placed.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= size).select(*events.columns)
+
+
 def feasible_counts(wishes: DataFrame, events: DataFrame) -> DataFrame:
     """``(request_id, feasible_events)``, without pairing any scope with any event.
 
@@ -210,35 +245,22 @@ def feasible_counts(wishes: DataFrame, events: DataFrame) -> DataFrame:
     counts of its blocks, which it finds by equality.
     """
     scopes = wishes.select("scope_key", *CONSTRAINTS, "origin_known").distinct()
-    # One row: the sorted thresholds of every kind, as many as wishes tell apart.
-    limits = F.broadcast(scopes.agg(*[F.array_sort(F.collect_set(name)).alias(f"all_{name}") for name in THRESHOLDS.values()]))
-    sizes = {name: F.size(f"all_{name}") for name in THRESHOLDS.values()}
-    # Places run from 0 to the number of thresholds; that many levels make one block of them all.
-    levels = {name: F.ceil(F.log2(size + 1)).cast("int") for name, size in sizes.items()}
-
-    def events_place(measure: str, name: str) -> Column:
-        value, size = F.col(measure), sizes[name]
-        below = _below(F.col(f"all_{name}"), levels[name], value)
-        if measure == "start_seconds":
-            # A start is late enough for the thresholds up to it, so its place is counted from the end.
-            below = size - below - F.array_contains(f"all_{name}", value).cast("int")
-        # An unknown end is short enough for all, an unknown price or start never good enough.
-        return F.when(value.isNull(), F.lit(0) if measure == "duration_hours" else size).otherwise(below)
+    limits = _limits(scopes)
 
     def scopes_length(name: str) -> Column:
         """How many places a scope's bound takes in, from the first on."""
         given = F.array_position(f"all_{name}", F.col(name)).cast("bigint")
         if name == "after_seconds":
-            given = sizes[name] - given + 1
-        return F.when(F.col(name).isNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), levels[name])).otherwise(given)
+            given = F.size(f"all_{name}") - given + 1
+        return F.when(F.col(name).isNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), _levels(name))).otherwise(given)
 
     names = list(THRESHOLDS.values())
     located = events.join(limits).select(
         _exact(F.col("category_key")).alias("category"),
         _exact(F.col("start_date")).alias("date"),
         "solo_ok",
-        *[events_place(measure, name).cast("bigint").alias(name) for measure, name in THRESHOLDS.items()],
-        *[levels[name].alias(f"levels_{name}") for name in names],
+        *[_place(measure).alias(name) for measure, name in THRESHOLDS.items()],
+        *[_levels(name).alias(f"levels_{name}") for name in names],
     )
     level_columns = [f"levels_{name}" for name in names]
     classes = located.groupBy("category", "date", "solo_ok", *names, *level_columns).agg(F.count(F.lit(1)).alias("n"))
@@ -261,7 +283,7 @@ def feasible_counts(wishes: DataFrame, events: DataFrame) -> DataFrame:
         F.coalesce(_exact(F.col("date")), F.lit(ANY)).alias("route_date"),
         "solo_required",
         *[scopes_length(name).alias(name) for name in names],
-        *[levels[name].alias(f"levels_{name}") for name in names],
+        *[_levels(name).alias(f"levels_{name}") for name in names],
     )
     for name in names:
         # The bits of a length are the sizes of its blocks.
@@ -310,7 +332,7 @@ def _cells(events: DataFrame, scopes: DataFrame, size: int) -> DataFrame:
     in_cell = W.partitionBy(*cell).orderBy("event_id")
     place = F.split("cell_spot", ",")
     return (
-        _in_scope(events.repartition(partitions, "event_id"), scopes)
+        _in_scope(_first_of_class(events, scopes, size).repartition(partitions, "event_id"), scopes)
         .select("*", F.inline(F.when(placed, F.array(here, far)).otherwise(F.array(anywhere))))
         .select("event_id", "spot", *CELL, F.xxhash64(*CELL).alias("_hash"))
         .withColumn("_n", F.row_number().over(in_cell))

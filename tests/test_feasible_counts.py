@@ -88,3 +88,13 @@ def test_joins_do_not_grow_with_scopes_times_events(spark):
     widths = [widest_join(matching.feasible_counts(w, e)) for _, _, w, e in (few, many)]
     # The widest join gives every event the row of thresholds; scopes times events would be 600,000.
     assert widths[1] <= 4000 + widths[0]
+
+
+def test_copies_of_an_event_meet_the_scopes_a_few_times(spark):
+    _, _, wishes, _ = draw_rows(spark, 9, 40, 1, 5)
+    scopes = wishes.drop("request_id").distinct()
+    columns = f"{EVENTS}, tags_text string, confidence_text string, spot string, tile string".replace("date date", "date string")
+    same = ("a", "2026-07-21", True, 5.0, 100.0, 1.0, "x|y", "0.5", "1,1", "t")
+    rows = [(f"e{i:04d}", *same) for i in range(2000)] + [("other", *same[:6], "z", *same[7:])]
+    kept = matching._first_of_class(spark.createDataFrame(rows, columns), scopes, 10).select("event_id").collect()
+    assert sorted(r["event_id"] for r in kept) == [f"e{i:04d}" for i in range(10)] + ["other"]

@@ -5,16 +5,18 @@ lengths stand in for the order of a tree, and regions of it in which the shortes
 A dense region is parted by longer prefixes until it is small. Candidates are confirmed on the full shingle sets, and
 linked texts are joined to groups.
 
-Texts with equal shingle sets are one text with copies from the start. Candidates are confirmed in three rounds: each text
-with the first one of its region, which joins most of what belongs together; then the texts of a small region that are
-still in different groups with each other; at last, in each dense region, the texts outside its largest group with all of
-the region, in blocks. The last round makes up for links that longer prefixes part.
+Texts with equal shingle sets are one text with copies from the start. Candidates are confirmed in rounds: each text with
+the first one of its region, which joins most of what belongs together, again so in the parts of dense regions that still
+hold more than one group; then the texts of a small region that are still in different groups with each other; at last, in
+each dense region, the texts outside its largest group with all of the region, in blocks. The last round makes up for links
+that longer prefixes part.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -162,36 +164,33 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _regions(forest: DataFrame) -> DataFrame:
-    """The forest's rows in regions of two texts or more, with size and first text of the regions at each depth."""
-    for i in range(len(DEPTHS)):
-        known = forest if i == 0 else forest.filter(F.col(f"n{i - 1}") > REGION)
-        sizes = known.groupBy(f"p{i}").agg(F.count("*").alias(f"n{i}"), F.min("node").alias(f"first{i}")).filter(F.col(f"n{i}") > 1)
-        # Written by itself, as Spark splits a frequent key only where both sides come from a shuffle of their own.
-        sizes = written(sizes, "region-sizes")
-        if i == 0:
-            forest = written(forest.join(sizes, "p0"), "forest")
-            dense = forest.filter(F.col("n0") > REGION)
-            if dense.isEmpty():
-                empty = F.lit(None).cast("bigint")
-                return forest.withColumns({c: empty for j in range(1, len(DEPTHS)) for c in (f"n{j}", f"first{j}")})
-        else:
-            forest = forest.join(sizes, f"p{i}", "left")
-    return written(forest, "regions")
-
-
-def _neighbours(regions: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of texts of a region that are in different groups so far."""
-    placed = regions.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    last = len(DEPTHS) - 1
-    region, size = F.col(f"p{last}"), F.coalesce(F.col(f"n{last}"), F.lit(1))
-    for i in reversed(range(last)):
-        region = F.when(F.col(f"n{i}") <= REGION, F.col(f"p{i}")).otherwise(region)
-        size = F.when(F.col(f"n{i}") <= REGION, F.col(f"n{i}")).otherwise(size)
-    placed = placed.select("node", "root", region.alias("region"), size.alias("size")).filter(F.col("size").between(2, REGION))
-    # A region of one group has nothing left to compare.
+def _regions(forest: DataFrame, depth: int) -> DataFrame:
+    """The rows that share a prefix of this depth with another text, with ``region``, its ``size`` and ``first`` text."""
+    prefix, longer = f"p{depth}", [f"p{i}" for i in range(depth + 1, len(DEPTHS))]
+    forest = forest.select("node", prefix, *longer)
+    sizes = forest.groupBy(prefix).agg(F.count("*").alias("size"), F.min("node").alias("first")).filter("size > 1")
+    # Written by itself, as Spark splits a frequent key only where both sides come from a shuffle of their own.
+    found = forest.join(written(sizes, "region-sizes"), prefix)
+    return written(found.select("node", F.col(prefix).alias("region"), "size", "first", *longer), "regions")
+
+
+def _firsts(regions: list[DataFrame]) -> DataFrame:
+    """Pairs of each text with the first one of its region."""
+    pairs = [found.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")) for found in regions]
+    return reduce(DataFrame.union, pairs).distinct()
+
+
+def _mixed(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """The rows of regions of more than one group, with their ``root``. A region of one group has nothing left to compare."""
+    placed = written(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     mixed = placed.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("region")
-    placed = written(placed.join(written(mixed, "mixed-regions"), "region"), "open-regions")
+    return written(placed.join(written(mixed, "mixed-regions"), "region"), name)
+
+
+def _neighbours(regions: list[DataFrame], roots: DataFrame) -> DataFrame:
+    """Pairs of texts of a small region that are in different groups so far."""
+    small = reduce(DataFrame.union, [found.filter(F.col("size") <= REGION).select("node", "region") for found in regions])
+    placed = _mixed(small, roots, "open-regions")
     other = placed.select("region", F.col("node").alias("b"), F.col("root").alias("root_b"))
     return placed.join(other, "region").filter("node < b and root <> root_b").select(F.col("node").alias("a"), "b").distinct()
 
@@ -268,18 +267,26 @@ def grouped(docs: DataFrame, text: str = "text", words: int = 5, percent: int =
         "classes",
     )
     prefixes = ", ".join(f"p{i} bigint" for i in range(len(DEPTHS)))
-    regions = _regions(classes.select("node", "signature").mapInArrow(_forest_batches(trees), f"node bigint, {prefixes}"))
-    first = regions.select("node", F.col("first0").alias("first"))
-    for i in range(1, len(DEPTHS)):
-        first = first.union(regions.filter(F.col(f"first{i}").isNotNull()).select("node", f"first{i}"))
-    first = first.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(first, texts, words, percent)
+    regions = _regions(classes.select("node", "signature").mapInArrow(_forest_batches(trees), f"node bigint, {prefixes}"), 0)
+    links = confirmed(_firsts([regions]), texts, words, percent)
     roots = components(links)
-    rest = confirmed(_neighbours(regions, roots), texts, words, percent)
+    # Only dense regions of more than one group are parted by longer prefixes.
+    dense = _mixed(regions.filter(F.col("size") > REGION).drop("first"), roots, "dense-regions")
+    parted, deeper = dense, []
+    for depth in range(1, len(DEPTHS)):
+        if parted.isEmpty():
+            break
+        deeper.append(_regions(parted, depth))
+        parted = deeper[-1].filter(F.col("size") > REGION)
+    rest = confirmed(_firsts(deeper), texts, words, percent) if deeper else links.limit(0)
+    if not rest.isEmpty():
+        links = links.union(rest)
+        roots = components(links)
+    rest = confirmed(_neighbours([regions, *deeper], roots), texts, words, percent)
     if not rest.isEmpty():
         links = links.union(rest)
         roots = components(links)
-    rest = _dense_links(regions, roots, texts, words, percent)
+    rest = _dense_links(dense.select("node", F.col("region").alias("p0"), F.col("size").alias("n0")), roots, texts, words, percent)
     if not rest.isEmpty():
         roots = components(links.union(rest))
     placed = classes.select("d0", "d1", "node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

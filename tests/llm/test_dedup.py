@@ -177,6 +177,18 @@ def test_blocks_find_links_of_a_text_that_stands_apart(as_table):
     assert all(got.get(d, d) == c for d, c in want.items()) and want[11] == 0 and want[12] == 12
 
 
+def test_a_dense_region_of_one_group_is_not_parted(as_table, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(150)]
+    sized = []
+    write = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: sized.append(name) or write(df, name))
+    found = near_dedup.near_duplicates(as_table(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0}
+    # Regions of the shortest prefix only.
+    assert sized.count("region-sizes") == 1
+
+
 def test_no_texts(as_table):
     assert near_dedup.near_duplicates(as_table([], "doc_id bigint, text string")).count() == 0
 

@@ -31,8 +31,10 @@ SMOOTHING = 5
 UNIT = 1_000_000_000
 #: Terms reported per source.
 TOP_TERMS = 50
+#: Bytes of documents that are counted at a time. Few documents have nearly as many counts as words.
+COUNTED_BYTES = 16 << 20
 #: Partial counts that a task holds before it hands them on.
-HELD_COUNTS = 200_000
+HELD_COUNTS = 500_000
 #: Sources in a block and counts in a shard, both about.
 BLOCK_SOURCES, SHARD_COUNTS = 128, 32_768
 #: Terms compared at a time.
@@ -88,6 +90,20 @@ def batch_counts(batch: pa.RecordBatch) -> pa.Table:
     return pa.table([named["0"], named["1"], rows["term"], rows["n"], rows["docs"]], names=[*_KEYS, "n", "docs"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``COUNTED_BYTES`` or little more, however small they come."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= COUNTED_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of many batches added up, and handed on whenever they are many."""
     schema = pa.schema([(name, pa.string()) for name in _KEYS] + [("n", pa.int64()), ("docs", pa.int64())])
@@ -97,9 +113,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def flushed() -> Iterator[pa.RecordBatch]:
         yield from _summed(pa.concat_tables(held)).cast(schema).combine_chunks().to_batches(max_chunksize=10_000)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _joined(batches):
         held.append(batch_counts(batch))
         rows += held[-1].num_rows
         if rows > HELD_COUNTS:

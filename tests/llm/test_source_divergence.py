@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from outpulse.llm import source_divergence
@@ -84,3 +85,13 @@ def test_small_batches_are_added_up():
             source_divergence.HELD_COUNTS = before
         whole = whole or found
         assert found == whole
+
+
+def test_small_batches_are_counted_together(monkeypatch):
+    counted, count = [], source_divergence.batch_counts
+    monkeypatch.setattr(source_divergence, "batch_counts", lambda batch: counted.append(batch.num_rows) or count(batch))
+    rows = [("en", "a", "one two two"), ("de", "b", None), (None, "a", "Drei")]
+    small = [pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), row))], pa.schema([(n, pa.string()) for n in ("lang", "source", "text")])) for row in rows * 20]
+    found = {tuple(r[n] for n in ("lang", "source", "term")): (r["n"], r["docs"]) for b in source_divergence._partial_counts(iter(small)) for r in b.to_pylist()}
+    assert counted == [60]
+    assert found == {("en", "a", "one"): (20, 20), ("en", "a", "two"): (40, 20), ("en", "a", ""): (0, 20), ("de", "b", ""): (0, 20), ("", "a", "drei"): (20, 20), ("", "a", ""): (0, 20)}

@@ -2,8 +2,9 @@
 
 Every window of ``size`` bytes is filed under an anchor, that of the ``ANCHOR``-byte strings inside it that has the
 smallest hash, the last one of equals. Equal windows have equal anchors at the same place, so a window can repeat only
-under an anchor that occurs elsewhere. Successive windows of a text with their anchor at one place form a piece. Pieces of repeated anchors are brought together, equal ones folded into one with a
-count, and their texts indexed by a Burrows-Wheeler transform. Breadth-first backward extension of its intervals then
+under an anchor that occurs elsewhere. Successive windows of a text with their anchor at one place form a piece. Pieces of
+repeated anchors are brought together and equal ones folded into one with a count. Where each piece of an anchor has a copy,
+all are repeated; the texts of the others are indexed by a Burrows-Wheeler transform. Breadth-first backward extension of its intervals then
 derives the common prefixes of neighbouring suffixes by increasing value and stops at ``size``: what has got no value by
 then agrees in ``size`` bytes or more.
 """
@@ -262,10 +263,13 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, hot:
         F.count("*").alias("copies"), F.min_by(F.struct(ROW, "start", "windows"), F.struct(ROW, "start")).alias("at")
     )
     distinct = written(distinct, "distinct-pieces")
-    frequent = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor")
-    frequent = light(written(frequent, "frequent-anchors"))
-    singly = _window_by_window(texts, distinct.join(frequent, "anchor"), size)
-    distinct = distinct.join(frequent, "anchor", "left_anti")
+    # Where every piece of an anchor has a copy, all its windows repeat. Only the other anchors are searched.
+    counts = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.min("copies").alias("fewest"))
+    searched = light(written(counts.filter("fewest = 1").select("anchor", "n"), "searched-anchors"))
+    whole = distinct.join(searched, "anchor", "left_anti").select("anchor", "content", F.array(F.lit(0), F.col("at.windows")).alias("found"))
+    distinct = written(distinct.join(searched, "anchor"), "searched-pieces")
+    singly = _window_by_window(texts, distinct.filter(F.col("n") > hot), size)
+    distinct = distinct.filter(F.col("n") <= hot)
     total = distinct.agg(F.sum(F.col("at.windows") + size - 1)).first()[0] or 0
     shards = int(max(1, -(-total // SHARD_BYTES)))
     wanted = distinct.groupBy(F.col(f"at.{ROW}").alias(ROW)).agg(
@@ -278,7 +282,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, hot:
         .mapInArrow(_shard_batches(size), _FOUND_DDL)
         .filter(F.size("found") > 0)
     )
-    indexed = written(indexed.unionByName(singly), "repeated-pieces")
+    indexed = written(indexed.unionByName(singly).unionByName(whole), "repeated-pieces")
     spans = F.transform(
         F.sequence(F.lit(0), F.size("found") - 2, F.lit(2)),
         lambda i: F.struct(
@@ -398,7 +402,7 @@ def dedup(docs: DataFrame, text: str = "text", size: int = SIZE, with_text: bool
     ``with_text``). Columns of any names may stand beside.
 
     Anchors are a hundredth of the text, and only counts, and pieces of anchors that occur twice, are shuffled. Tasks
-    index the distinct pieces of an anchor; an anchor with more than ``hot`` of them is dissolved into windows.
+    index the distinct pieces of an anchor, unless each has a copy; an anchor with more than ``hot`` of them is dissolved into windows.
     """
     rows = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text).cast("string").alias("text")))
     spans = repeated_spans(rows, size, anchor, hot)

@@ -116,6 +116,18 @@ def test_row_numbers_of_paths_with_special_characters(spark, tmp_path):
     assert len({r.row_no for r in rows}) == len({r.id for r in rows}) == 100
 
 
+def test_pieces_that_all_have_copies_are_not_searched(as_table, monkeypatch):
+    draw = random.Random(3)
+    copied, single = ("".join(draw.choice("abcdefgh") for _ in range(3000)) for _ in range(2))
+    kept, write = {}, suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    texts = [copied, single, copied, copied]
+    rows = suffix_dedup.dedup(as_table(list(enumerate(texts)), "doc_id bigint, text string")).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = list(plain_removed([t.encode() for t in texts], 200))
+    assert [tuple(r)[1:] for r in sorted(rows)] == want
+    assert kept["distinct-pieces"].count() > 0 and kept["searched-pieces"].count() == 0
+
+
 def test_dedup_of_nothing(as_table):
     assert suffix_dedup.dedup(as_table([], "doc_id bigint, text string")).count() == 0
 

@@ -178,10 +178,12 @@ def _stored_feed(spark: SparkSession, sf_dir: str, merge: bool = False) -> tuple
     captured = F.to_date("ingested_at")
     first, last = data.feed_captures(spark, sf_dir).agg(F.min(captured), F.max(captured)).first()
     loads = (last - first).days // DAYS_PER_LOAD + 1 if first else 0
+    # The batches are made once and dealt to the loads, each of which reads its own folder several times.
+    landed_at = f"{root}/landed"
+    load = F.floor(F.datediff(captured, F.lit(first)) / DAYS_PER_LOAD).cast("int")
+    batches.withColumn("load", load).write.partitionBy("load").parquet(landed_at)
     for batch in range(loads):
-        days = F.datediff(captured, F.lit(first))
-        rows = batches.filter((days >= batch * DAYS_PER_LOAD) & (days < (batch + 1) * DAYS_PER_LOAD))
-        refresh.load_feed_batch(spark, root, batch, rows)
+        refresh.load_feed_batch(spark, root, batch, tables.read_if_written(spark, f"{landed_at}/load={batch}", batches.schema))
     if merge:
         pending = tables.Batch(spark, root, "feed", loads)
         pending.merge("feed")

@@ -20,7 +20,7 @@ from outpulse.plans.staging import DEFAULT_FEED, FeedProfile
 from outpulse.sources import commits, keyed
 
 
-def read_if_written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_if_written(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The table at ``path``, or an empty one where nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)

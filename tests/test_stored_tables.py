@@ -1,5 +1,6 @@
 """Tables as bases and deltas, and what a reader sees of a run that dies."""
 
+import functools
 import json
 import random
 
@@ -8,10 +9,11 @@ from helpers import feed_row
 from pyspark.sql import functions as F
 from test_upsert_history import random_batches, rows_of
 
+from outpulse import registry
 from outpulse.operators import history, upsert
 from outpulse.clock import Clock
 from outpulse.plans import refresh
-from outpulse.sources import commits, keyed, tables
+from outpulse.sources import adapters, commits, keyed, tables
 from outpulse.streaming import feed_stream
 
 CLOCK = Clock("2026-07-20 16:00:00")
@@ -247,3 +249,14 @@ def feed_pages(spark, path):
     from outpulse.sources import landed
 
     return landed.pages(spark, str(path))
+
+
+def test_loads_read_their_own_folder_and_not_the_events(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(refresh, "load_feed_batch", lambda spark, root, batch, rows: taken.append(rows))
+    _, last = registry._stored_feed(spark, "/root/testdata/sf0.001")
+    assert len(taken) == last + 1
+    assert all(f"/landed/load={batch}/" in path for batch, rows in enumerate(taken) for path in rows.inputFiles())
+    batches = adapters.feed_batches(spark, "/root/testdata/sf0.001")
+    together = functools.reduce(lambda a, b: a.union(b), taken)
+    assert together.columns == batches.columns and together.exceptAll(batches).count() == 0 and batches.exceptAll(together).count() == 0

@@ -443,26 +443,51 @@ def pools(wishes: DataFrame, ranking: Ranking) -> DataFrame:
     return joined.select(*wishes.columns, F.inline("pool"))
 
 
-def draw_key(seed: int, weight: Column) -> Column:
+def draw_key(seed: int, weight: Column, event_id: Column) -> Column:
     """Weighted sampling without replacement: the smallest keys are the draw (Efraimidis and Spirakis, 2006).
 
     The random number is a function of seed, request and event, so a repeated run draws the same.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), "request_id", "event_id")
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("request_id"), event_id)
     number = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
     uniform = (number.cast("double") + 1) / F.lit(float(2**52))
     return -F.ln(uniform) / weight
 
 
+def _order(seed: int, total: Column, position: Column, event_id: Column) -> Column:
+    """The order of a pool's entries: by position, in drawing order for a surprise."""
+    drawn = draw_key(seed, F.greatest(total, F.lit(1.0)), event_id)
+    return F.when(F.col("mode") == "surprise", drawn).otherwise(position.cast("double"))
+
+
+def chosen_results(wishes: DataFrame, ranking: Ranking, seed: int = 0, results: int = MAX_RESULTS) -> DataFrame:
+    """The results of ``select_results`` over the pools of ``ranking``, each chosen within its request's array.
+
+    A request's row has its whole pool, so its results are in order before they are rows: no rows are sorted for them, and
+    a task holds one pool at a time, however many requests it reads.
+    """
+    if ranking.few_profiles:
+        # The ranking is broadcast, and few files may hold many requests: those are dealt out before they multiply.
+        wishes = wishes.repartition(int(wishes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "request_id")
+    joined = _by_request(wishes, ranking.ranked, "profile_key", ranking.few_profiles, "inner")
+    ordered = F.transform(
+        "pool",
+        lambda e: F.struct(
+            _order(seed, e["total"], e["position"], e["event_id"]).alias("order"),
+            e["event_id"].alias("event_id"),
+            e.alias("entry"),
+        ),
+    )
+    best = F.transform(F.slice(F.array_sort(ordered), 1, results), lambda e, n: F.struct(e["entry"].alias("entry"), (n + 1).alias("rank")))
+    return joined.select(*wishes.columns, F.inline(best)).select(*wishes.columns, "entry.*", "rank")
+
+
 def select_results(pool: DataFrame, seed: int = 0, results: int = MAX_RESULTS) -> DataFrame:
     """The best entries, or for a surprise a draw from the pool with chances proportional to the total.
 
-    Each request has at most a pool of rows here. ``rank`` numbers the results, in drawing order for a surprise.
+    For pools that are a row per entry. ``rank`` numbers the results, in drawing order for a surprise.
     """
-    surprise = F.col("mode") == "surprise"
-    order = F.when(surprise, draw_key(seed, F.greatest(F.col("total"), F.lit(1.0)))).otherwise(
-        F.col("position").cast("double")
-    )
+    order = _order(seed, F.col("total"), F.col("position"), F.col("event_id"))
     per_request = W.partitionBy("request_id").orderBy("_order", "event_id")
     return (
         pool.withColumn("_order", order)

@@ -50,13 +50,19 @@ def _if_there(candidates: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in candidates.columns else F.lit(None).cast(kind).alias(name)
 
 
+def _ranked(
+    requests: DataFrame, candidates: DataFrame, zips: DataFrame, clock: Clock, reused: bool
+) -> tuple[DataFrame, matching.Ranking]:
+    wishes = matching.asked(requests, zips)
+    ranking = matching.rank(wishes, matching.rankable(candidates, clock))
+    return wishes, ranking.settled() if reused else ranking
+
+
 def score_pools(
     requests: DataFrame, candidates: DataFrame, zips: DataFrame, clock: Clock, reused: bool = False
 ) -> DataFrame:
     """The pool of every request with all score components. ``reused`` says that the plan will read it repeatedly."""
-    wishes = matching.asked(requests, zips)
-    ranking = matching.rank(wishes, matching.rankable(candidates, clock))
-    return matching.pools(wishes, ranking.settled() if reused else ranking)
+    return matching.pools(*_ranked(requests, candidates, zips, clock, reused))
 
 
 def top_results(
@@ -67,7 +73,7 @@ def top_results(
     seed: int = 0,
     reused: bool = False,
 ) -> DataFrame:
-    return matching.select_results(score_pools(requests, candidates, zips, clock, reused), seed)
+    return matching.chosen_results(*_ranked(requests, candidates, zips, clock, reused), seed)
 
 
 def explained(

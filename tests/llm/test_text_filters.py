@@ -195,6 +195,42 @@ def test_perplexity_equals_the_definition(as_table, monkeypatch, frequent):
         assert got[row.row_no] == pytest.approx(2 ** -np.mean(logs), rel=1e-9)
 
 
+@pytest.mark.parametrize("sent", [0, 6])
+def test_perplexity_is_the_same_however_tokens_are_dealt(as_table, monkeypatch, sent):
+    draw = random.Random(9)
+    rare = [f"w{i}" for i in range(40)]
+    prose = lambda n: " ".join(draw.choice(["the", "the", "cat", "sat", "日本", *rare]) for _ in range(n))
+    texts = [(i % 3 if i % 3 < 2 else None, prose(draw.randint(1, 40))) for i in range(40)] + [(None, "the")]
+    docs = numbered(as_table(texts, "fold int, text string"))
+    found = []
+    for shards, rounds, frequent in ((1, 1, 10_000), (7, 3, 20)):
+        monkeypatch.setattr(perplexity, "LEAST_SHARDS", shards)
+        monkeypatch.setattr(perplexity, "COUNT_ROUNDS", rounds)
+        monkeypatch.setattr(perplexity, "SCORE_ROUNDS", rounds)
+        monkeypatch.setattr(perplexity, "FREQUENT", frequent)
+        monkeypatch.setattr(perplexity, "SENT_WORDS", perplexity.SENT_WORDS if shards == 1 else sent)
+        dealt = perplexity.dealing(docs)
+        assert dealt.shards == shards and (len(dealt.busy) > 0) == (frequent == 20)
+        model, unknown = perplexity.fit(docs.filter("fold is not null").select("fold", "text"), dealt)
+        found.append({r.row_no: r.perplexity for r in perplexity.perplexities(docs, model, unknown).collect()})
+    assert found[0] == pytest.approx(found[1], rel=1e-12) and len(found[0]) == len(texts)
+
+
+def test_no_shuffled_files_are_left_behind(spark, as_table):
+    def shuffled():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = manager.getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    docs = numbered(as_table([(i % 2, f"the cat sat on mat {i}") for i in range(30)], "fold int, text string"))
+    before = shuffled()
+    model, unknown = perplexity.fit(docs.select("fold", "text"))
+    scores = perplexity.perplexities(docs, model, unknown)
+    assert not shuffled() - before
+    assert scores.count() == 30
+
+
 def test_plain_model_is_a_distribution():
     probability, words = plain_model(["a b a c", "a b b", "c"])
     for before in (("a", "b"), ("<s>", "<s>"), ("z", "a"), ("z", "z")):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outpulse.llm.common import ROW, as_bytes, light, numbered, written
-from outpulse.llm.rolling import mixed, prefix_hashes, stretches
+from outpulse.llm.rolling import mixed, powers
 
 #: Trusted documents are in two folds. Model 0 and 1 lack the fold of their number, model 2 has both.
 FOLDS = 2
@@ -45,12 +45,14 @@ SENT_WORDS = 300_000
 FILTER_WORDS = 1 << 19
 #: Tokens that a task deals out together, and bytes of text that it parts into words together.
 BLOCK_TOKENS, BLOCK_BYTES = 2_000_000, 1 << 18
+#: Tokens whose shards are found together.
+CACHED_TOKENS = 1 << 15
 #: The least discount, so that an unknown word has a probability.
 LEAST_DISCOUNT = 0.05
 
 _BEGIN, _END = np.array([0x51ED270B0A1FD3C7, 0x2545F4914F6CDD1D], np.uint64)
 _PIECE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_UPPER, _TAB, _ALONE = np.array([0x41, 0x09, 0xE3], np.uint8)
 _DEALT = "shard bigint, first bigint, block bigint, words binary, grams binary, docs binary"
 _REPLIED = "block bigint, docs binary, logs binary, left_words binary, left_values binary"
 _COUNTED = "kind int, first bigint, word bigint, " + ", ".join(f"n{m} int" for m in MODELS)
@@ -83,16 +85,31 @@ def tokens(text: bytes, places: bool = False) -> np.ndarray | tuple[np.ndarray,
     """Hashes of the words, on demand with the places where they begin. A-Z count as a-z; a character of scripts without blanks (U+3000 to U+9FFF) is a word."""
     if not text:
         return (np.empty(0, np.uint64), np.empty(0, np.int64)) if places else np.empty(0, np.uint64)
-    data = np.frombuffer(text.lower(), np.uint8)
-    space = _SPACE[data]
-    alone = (data >= 0xE3) & (data <= 0xE9)
+    data = np.frombuffer(text, np.uint8)
+    data = data | ((data - _UPPER < 26).view(np.uint8) << np.uint8(5))
+    space = (data == 0x20) | (data - _TAB < 5)
+    alone = data - _ALONE < 7
     edge = np.ones(len(data) + 1, bool)
-    edge[1:-1] = space[1:] | space[:-1] | alone[1:]
-    edge[3:-1] |= alone[: len(data) - 3] if len(data) > 3 else False
-    at = np.flatnonzero(edge)
-    word = ~space[at[:-1]]
-    found = stretches(prefix_hashes(data), at[:-1][word], at[1:][word])
-    return (found, at[:-1][word]) if places else found
+    if alone.any():
+        edge[1:-1] = space[1:] | space[:-1] | alone[1:]
+        edge[3:-1] |= alone[: len(data) - 3] if len(data) > 3 else False
+        at = np.flatnonzero(edge)
+        word = ~space[at[:-1]]
+        starts, stops = at[:-1][word], at[1:][word]
+    else:
+        edge[0], edge[-1] = not space[0], not space[-1]
+        np.not_equal(space[1:], space[:-1], out=edge[1:-1])
+        at = np.flatnonzero(edge)
+        starts, stops = at[::2], at[1::2]
+    # Those of ``prefix_hashes`` and ``stretches``, the ones that each byte is raised by added up by length.
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(data, up[:-1], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    size = stops - starts
+    ones = np.cumsum(np.append(np.uint64(0), up[: size.max(initial=0)]), dtype=np.uint64)
+    found = mixed((sums[stops] - sums[starts]) * down[starts] + ones[size])
+    return (found, starts) if places else found
 
 
 @contextlib.contextmanager
@@ -169,14 +186,16 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _shard(middle: np.ndarray, piece: np.ndarray, dealt: Dealing) -> np.ndarray:
-    return (mixed(middle + piece * _PIECE) % np.uint64(dealt.shards)).astype(np.int64)
+def _shard(middle: np.ndarray, dealt: Dealing) -> np.ndarray:
+    """The shards of middle words, to which their piece is added."""
+    found, n = mixed(middle), np.uint64(dealt.shards)
+    return (found - found // n * n).view(np.int64)  # a division by one number is faster than its remainder
 
 
 def _packed(values: np.ndarray) -> bytes:
     """The first bytes of all values, then the second ones, compressed: bytes that are alike are together."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return planes.size.to_bytes(8, "little") + pa.Codec("zstd", 1).compress(pa.py_buffer(planes), asbytes=True)
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
@@ -185,38 +204,69 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and the place of each among them."""
+    coded = pa.array(values).dictionary_encode()
+    known = coded.dictionary.to_numpy()
+    order = np.argsort(known)
+    place = np.empty(len(known), np.int32)
+    place[order] = np.arange(len(known), dtype=np.int32)
+    return known[order], place[coded.indices.to_numpy()]
+
+
+def _dealt_to(words: np.ndarray, dealt: Dealing, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the middle words, and their shards, that belong to this turn. Few are taken at a time, which stay in the cache."""
+    marked = np.zeros(1 << 16, bool)
+    marked[dealt.busy.astype(np.uint16)] = True
+    mine = np.arange(dealt.shards) % turns == turn
+    places, shards = [], []
+    for start in range(0, len(words), CACHED_TOKENS):
+        middle = words[start : start + CACHED_TOKENS]
+        split = np.flatnonzero(marked[middle.astype(np.uint16)])
+        if len(split):
+            busy = _find(dealt.busy, middle[split])
+            split, busy = split[busy >= 0] + start, busy[busy >= 0]
+            piece = mixed(words[split - 1]) % dealt.pieces[busy]
+            middle = middle.copy()
+            middle[split - start] += piece * _PIECE
+        shard = _shard(middle, dealt)
+        at = np.flatnonzero(mine[shard])
+        places.append(at + start)
+        shards.append(shard[at])
+    return np.concatenate(places), np.concatenate(shards)
+
+
 def _deal_batches(dealt: Dealing, turn: int, turns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, models, sizes, words in _blocks(batches):
             # Each text is BEGIN BEGIN words END; a token is a word or an END and the two before it.
-            n_texts, before = len(sizes), np.cumsum(sizes) - sizes
+            n_texts = len(sizes)
+            begins = np.cumsum(sizes + 3) - sizes - 3
+            ends = begins + sizes + 2
             padded = np.full(len(words) + 3 * n_texts, _BEGIN, np.uint64)
-            text = np.repeat(np.arange(n_texts), sizes)
-            padded[np.arange(len(words)) + 3 * text + 2] = words
-            ends = before + sizes + 3 * np.arange(n_texts) + 2
+            inner = np.ones(len(padded), bool)
+            inner[begins] = inner[begins + 1] = inner[ends] = False
+            padded[inner] = words
             padded[ends] = _END
-            token = np.ones(len(padded), bool)
-            token[ends - sizes - 2] = token[ends - sizes - 1] = False
-            at = np.flatnonzero(token)
-            middle = padded[at - 1]
-            piece = np.zeros(len(at), np.uint64)
-            if len(dealt.busy):
-                place = _find(dealt.busy, middle)
-                split = place >= 0
-                piece[split] = mixed(padded[at[split] - 2]) % dealt.pieces[place[split]]
-            shard = _shard(middle, piece, dealt)
-            mine = np.flatnonzero(shard % turns == turn)
-            mine = mine[np.argsort(shard[mine], kind="stable")]
-            shard, at, of = shard[mine], at[mine], np.repeat(np.arange(n_texts), sizes + 1)[mine]
+            middle, shard = _dealt_to(padded, dealt, turn, turns)
+            # All but the first and the last of a text stand in the middle of a token.
+            inner[begins + 1] = True
+            some = inner[middle]
+            at, shard = middle[some] + 1, shard[some]
+            narrow = shard.astype(np.uint16) if dealt.shards <= 1 << 16 else shard
+            order = np.argsort(narrow, kind="stable")
+            of = np.repeat(np.arange(n_texts, dtype=np.int32), sizes + 3)[at][order]
+            shard, at = shard[order], at[order]
             starts = np.flatnonzero(np.diff(shard, prepend=-1))
             out = []
             for start, stop in zip(starts, [*starts[1:], len(shard)]):
                 place = at[start:stop]
-                known, grams = np.unique(padded[np.concatenate([place - 2, place - 1, place])], return_inverse=True)
-                texts, n = np.unique(of[start:stop], return_counts=True)
+                known, grams = _coded(padded[np.concatenate([place - 2, place - 1, place])])
+                first = np.flatnonzero(np.diff(of[start:stop], prepend=-1))
+                texts, n = of[start:stop][first], np.diff(first, append=stop - start)
                 docs = np.concatenate([np.diff(rows[texts], prepend=0), n, models[texts]])
                 known = np.diff(known, prepend=np.uint64(0))
-                out.append((int(shard[start]), None, int(rows[0]), _packed(known), _packed(grams.astype(np.int32)), _packed(docs)))
+                out.append((int(shard[start]), None, int(rows[0]), _packed(known), _packed(grams), _packed(docs)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 
@@ -239,7 +289,7 @@ def _deal_pairs(dealt: Dealing, turn: int, turns: int):
             for start, stop in zip(starts, [*starts[1:], len(first)]):
                 middle = first[start : start + 1].view(np.uint64)
                 pieces = np.arange(dealt.pieces[_find(dealt.busy, middle)[0]], dtype=np.uint64)
-                shards = np.unique(_shard(middle, pieces, dealt))
+                shards = np.unique(_shard(middle + pieces * _PIECE, dealt))
                 row = (int(first[start]), None, _packed(word[start:stop]), _packed(n[:, start:stop].ravel()), None)
                 out = [(int(shard), *row) for shard in shards if shard % turns == turn]
                 if out:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,28 @@ def test_junk_is_not_kept(as_table):
     assert all(r.kept == (r.perplexity is not None) for r in nothing)
 
 
+def test_only_words_that_may_be_frequent_are_looked_up(monkeypatch):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(["the", "The", f"w{draw.randrange(3000)}"]) for _ in range(draw.randrange(90))) for _ in range(300)]
+    frequent = perplexity.tokens(b"the")
+    asked, find = [], perplexity._find
+    monkeypatch.setattr(perplexity, "_find", lambda keys, wanted: asked.extend(wanted) or find(keys, wanted))
+    monkeypatch.setattr(perplexity, "CACHED_TOKENS", 64, raising=False)
+    batch = pa.record_batch([pa.array(range(300)), pa.array([2] * 300), pa.array(texts)], ["row_no", "model", "text"])
+    dealt = perplexity.Dealing(7, frequent, np.array([3], np.uint64))
+    found = [r for turn in range(2) for b in perplexity._deal_batches(dealt, turn, 2)(iter([batch])) for r in b.to_pylist()]
+    grams = []
+    for row in found:
+        words = np.cumsum(perplexity._unpacked(row["words"], np.uint64), dtype=np.uint64)
+        grams += words[perplexity._unpacked(row["grams"], np.int32).reshape(3, -1)].T.tolist()
+    begin, end = perplexity._BEGIN, perplexity._END
+    padded = [[begin, begin, *perplexity.tokens(t.encode()), end] for t in texts if t]
+    assert sorted(grams) == sorted([int(w) for w in p[i : i + 3]] for p in padded for i in range(len(p) - 2))
+    assert 0 < len(asked) < 0.8 * 2 * len(grams), "in none of the two turns all words are looked up among the frequent ones"
+    # Texts with and without scripts that have no blanks are parted in two ways.
+    assert perplexity.tokens(" ab  C\td".encode()).tolist() == perplexity.tokens(" ab  C\td日".encode()).tolist()[:-1]
+
+
 def test_perplexity_of_no_documents(as_table):
     docs = as_table([], "doc_id bigint, text string, lang string")
     assert perplexity.classify(docs, as_table([(1, 1, 0)], "doc_id bigint, quality int, toxic int", "l")).count() == 0
